@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import packing
+from palimpsest.llm import language_id, mixing, near_dedup, packing, quality, topk, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (packing,):
+for _module in (toxicity, language_id, quality, packing, topk, near_dedup, mixing):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
