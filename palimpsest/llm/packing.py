@@ -220,7 +220,7 @@ def pack(docs: DataFrame, window: int = WINDOW_TOKENS, weights: dict[str, float]
     tokens = written(tokenize(taken, path, end_id, id_col, text_col, source_col), "tokens")
     sums = tokens.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = written(sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     totals = sorted(((r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0] or ""))
     names = [r[0] for r in totals]
     plan = Schedule([r[1] for r in totals], None if weights is None else [weights.get(x, 0.0) for x in names])
