@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import language_id, mixing, near_dedup, packing, quality, topk, toxicity
+from palimpsest.llm import extraction, language_id, media, mixing, near_dedup, packing, quality, topk, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (toxicity, language_id, quality, packing, topk, near_dedup, mixing):
+for _module in (toxicity, warc, extraction, language_id, quality, packing, topk, media, near_dedup, mixing):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

@@ -5,9 +5,12 @@ is toxic with 1 - product of (1 - p_s): a single bad sentence is enough, and no
 fitted by gradient descent on the documents' labels, of which a share NOISE is taken to be wrong either way. After
 training the sentence scores say where the document offends.
 
-Words are runs of letters of the lower-cased text. Those that are told apart in training documents by a likelihood
-ratio of at least EVIDENCE get a weight; sentences without any have the floor probability FLOOR, and a document's score
-leaves these floors out, so that length alone makes nothing toxic.
+Words are runs of letters of the lower-cased text; a word has itself and its openings of 4 to 8 letters as features, so
+that inflected forms share evidence. Features that the training labels favour by a likelihood ratio of at least EVIDENCE
+get a weight; near copies count once there. A sentence's words are instances of their own within the noisy-or.
+Sentences without any such feature have the floor probability FLOOR, and a document's score leaves these floors out, so
+that length alone makes nothing toxic. While fitting, a random part of the features is left out of each step: otherwise
+the words that explain most documents take all the weight, and rarer ones would not suffice by themselves.
 
 Training takes a bounded sample of labelled rows: SAMPLE_ROWS of each label, by the smallest hash of the id, none longer
 than SAMPLE_TEXT characters. All texts are scored whole.
@@ -34,8 +37,10 @@ from palimpsest.session import table
 SAMPLE_ROWS = 3000
 SAMPLE_TEXT = 20_000
 NOISE = 0.03
-EVIDENCE = 14.0
-FLOOR = 1e-4
+EVIDENCE = 18.0
+FLOOR = 1e-2
+RIDGE = 0.05
+OPENINGS = (4, 8)
 THRESHOLD = 0.7
 SEED = 5
 
@@ -48,14 +53,30 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
+def features_of(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in range(OPENINGS[0], min(OPENINGS[1], len(word) - 1) + 1))]
+
+
+def unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """``rows`` without those that share half of their sentences with earlier ones."""
+    seen: set[str] = set()
+    out = []
+    for text, y in rows:
+        own = {s for s in SENTENCE.findall(text.lower()) if len(s) > 20}
+        if not own or 2 * len(own & seen) < len(own):
+            out.append((text, y))
+        seen |= own
+    return out
+
+
 class SentenceModel:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.known = frozenset(weights)
+        self.words: dict[str, float] = {}
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, int]], steps: int = 400, rate: float = 0.2, ridge: float = 2e-3) -> SentenceModel:
-        rows = sorted(set(rows))
+    def fit(cls, rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.15, ridge: float = RIDGE, dropped: float = 0.3) -> SentenceModel:
+        rows = unlike(sorted(set(rows)))
         bags = [(set(WORD.findall(t.lower())), y) for t, y in rows]
         n1 = sum(y for _, y in bags)
         n0 = len(bags) - n1
@@ -64,63 +85,79 @@ class SentenceModel:
             return cls({}, bias)
         in1, in0 = Counter(), Counter()
         for words, y in bags:
-            (in1 if y else in0).update(words)
+            if y:
+                in1.update({f for w in words for f in features_of(w)})
+        for words, y in bags:
+            if not y:
+                in0.update({f for w in words for f in features_of(w) if f in in1})
         share = n1 / (n0 + n1)
-        vocab = []
-        for w, a in in1.items():
-            n = a + in0[w]
-            rate1 = a / n
-            if rate1 > share:
-                ratio = 2 * (a * math.log(rate1 / share) + (n - a) * math.log((1 - rate1) / (1 - share)) if n > a else a * math.log(1 / share))
+        # a longer feature must say more than the longest shorter one that is in already
+        rates: dict[str, float] = {}
+        for f in sorted(in1, key=lambda f: (len(f), f)):
+            a, n = in1[f], in1[f] + in0[f]
+            opening = f[:-1] if f[-1] == "*" else f
+            base = next((rates[o] for k in range(min(OPENINGS[1], len(opening)), OPENINGS[0] - 1, -1) if (o := opening[:k] + "*") in rates), share)
+            if a / n > base:
+                ratio = 2 * a * math.log(a / n / base) + (2 * (n - a) * math.log((n - a) / n / (1 - base)) if n > a else 0)
                 if ratio >= EVIDENCE:
-                    vocab.append(w)
-        place = {w: i for i, w in enumerate(sorted(vocab))}
-        # rows of the sparse design: sentences that hold a word of the vocabulary
-        doc, sent, col = [], [], []
+                    rates[f] = min(a / n, 1 - 0.5 / n)
+        place = {f: i for i, f in enumerate(sorted(rates))}
+        # the sparse design: instances are the sentences' words with a feature of the vocabulary
+        doc, inst, col = [], [], []
         n = 0
-        for d, (text, _) in enumerate(rows):
-            low = text.lower()
-            if not place.keys() & bags[d][0]:
-                continue
-            for a, b in sentences_of(low):
-                found = {place[w] for w in WORD.findall(low[a:b]) if w in place}
+        for d, (words, _) in enumerate(bags):
+            for w in sorted(words):
+                found = [place[f] for f in features_of(w) if f in place]
                 if found:
                     doc.append(d)
-                    sent += [n] * len(found)
-                    col += sorted(found)
+                    inst += [n] * len(found)
+                    col += found
                     n += 1
-        y = np.array([y for _, y in rows], float)
-        weight = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
-        doc, sent, col = np.array(doc, int), np.array(sent, int), np.array(col, int)
-        w = np.full(len(place), 3.0)
+        y = np.array([y for _, y in bags], float)
+        doc, inst, col = np.array(doc, int), np.array(inst, int), np.array(col, int)
+        w = np.full(len(place), 2.0)
         m, v = np.zeros_like(w), np.zeros_like(w)
+        rng = np.random.Generator(np.random.PCG64(SEED))
         for t in range(1, steps + 1):
-            z = bias + np.bincount(sent, w[col], minlength=n)
+            on = rng.random(len(w)) >= dropped
+            z = bias + np.bincount(inst, (w * on)[col], minlength=n)
             p = 1 / (1 + np.exp(-z))
             clean = np.exp(np.bincount(doc, -np.logaddexp(0, z), minlength=len(y)))
             toxic = NOISE + (1 - 2 * NOISE) * (1 - clean)
-            slope = weight * np.where(y == 1, -1 / toxic, 1 / (1 - toxic)) * (1 - 2 * NOISE) * clean / len(y)
-            g = np.bincount(col, (slope[doc] * p)[sent], minlength=len(w)) + ridge * w / max(len(w), 1)
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return cls({x: float(w[i]) for x, i in place.items() if w[i] > 0}, bias)
+            slope = np.where(y == 1, -1 / toxic, 1 / (1 - toxic)) * (1 - 2 * NOISE) * clean
+            g = np.bincount(col, (slope[doc] * p)[inst], minlength=len(w)) * on + ridge * w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        return cls({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 0.05}, bias)
+
+    def _of(self, words: set[str]) -> dict[str, float]:
+        """The words among ``words`` that have a weight."""
+        memo = self.words
+        if len(memo) > 300_000:
+            memo.clear()
+        for w in words.difference(memo):
+            memo[w] = sum(self.weights.get(f, 0.0) for f in features_of(w))
+        return {w: memo[w] for w in words if memo[w] > 0}
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score, and (start, end, score) of each sentence with a known word."""
-        if not text:
+        if not text or not self.weights:
             return 0.0, []
         low = text.lower()
-        if self.known.isdisjoint(WORD.findall(low)):
+        known = self._of(set(WORD.findall(low)))
+        if not known:
             return 0.0, []
         if len(low) != len(text):  # a letter that lower-cases to two; keep the offsets of the text
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        clean, found, get = 1.0, [], self.weights.get
+        clean, found = 1.0, []
         for a, b in sentences_of(low):
-            known = self.known.intersection(WORD.findall(low[a:b]))
-            if known:
-                p = 1 / (1 + math.exp(-(self.bias + sum(get(w) for w in sorted(known)))))
-                clean *= 1 - p
-                found.append((a, b, p))
+            own = known.keys() & set(WORD.findall(low[a:b]))
+            if own:
+                rest = 1.0
+                for w in sorted(own):
+                    rest *= 1 - 1 / (1 + math.exp(-(self.bias + known[w])))
+                clean *= rest
+                found.append((a, b, 1 - rest))
         return 1 - clean, found
 
 
