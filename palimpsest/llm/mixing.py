@@ -162,8 +162,8 @@ l{n} AS (
 ),
 f{n} AS (SELECT *, CASE WHEN cap > level * w THEN rn END AS open_rn FROM l{n}),
 g{n} AS (SELECT *, min(open_rn) OVER ({part}) AS first_rn FROM f{n}),
-h{n} AS (SELECT *, max(CASE WHEN rn = first_rn THEN level END) OVER ({part}) AS at FROM g{n}),
-w{n} AS (SELECT *, CASE WHEN at IS NULL THEN cap ELSE least(cap, CAST(floor(at * w) AS BIGINT)) END AS whole FROM h{n}),
+h{n} AS (SELECT *, max(CASE WHEN rn = first_rn THEN level END) OVER ({part}) AS share_level FROM g{n}),
+w{n} AS (SELECT *, CASE WHEN share_level IS NULL THEN cap ELSE least(cap, CAST(floor(share_level * w) AS BIGINT)) END AS whole FROM h{n}),
 t{n} AS (
   SELECT *, budget - sum(whole) OVER ({part}) AS spare, row_number() OVER ({part} ORDER BY CAST(cap <= whole AS INTEGER), {name}) AS turn
   FROM w{n}
