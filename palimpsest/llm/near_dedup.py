@@ -6,11 +6,13 @@ ERRORS wrong symbols; every chunk is therefore indexed once for each choice of E
 pairs under the threshold of 15 of 40 symbols meet in an index entry; two documents of similarity 0.85 differ in 6 on
 average. What meets is confirmed on the full shingle sets.
 
-Large groups: an entry (key) with g members is not expanded into its g * g / 2 pairs. In each round an entry's members
-are dealt into R hash classes, the smallest of each class is a representative, and only pairs (representative,
-member of another component) are confirmed. Confirmed links are contracted into components, representatives leave the
-entry, and an entry whose rest lies in one component is done. R grows from 1, so that groups of copies collapse in
-linear work first; the rounds end only when no entry is open, so no link between different components is lost.
+Large groups: an entry (key) with g members is not expanded into its g * g / 2 pairs. The first round confirms, of each
+entry, the pairs with its smallest member and the pairs of neighbours in the order of the signatures, both linear in g;
+confirmed links are contracted into components, which takes groups of copies together. Each later round deals an
+entry's members into R hash classes; the smallest of each is a representative, and the pairs of representatives with
+members of other components are confirmed if their signatures are within the threshold and their set sizes allow the
+similarity. Representatives leave the entry, and an entry whose rest lies in one component is done. The rounds end only
+when no entry is open, so no such link between different components is lost.
 
 Defined results: equal word sequences form one class before any comparison. A null, empty or white text has no
 shingles and is alone. Rows with the same id are compared like any others and each returns its row; a null id has
@@ -22,10 +24,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.session import fresh, table, written
@@ -33,6 +36,8 @@ from palimpsest.session import fresh, table, written
 SHINGLE_WORDS = 5
 SIMILARITY = 80
 CHUNKS, WIDTH, ERRORS, BITS = 8, 5, 1, 16
+#: Symbols in which two signatures may differ: what the chunks guarantee.
+THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 SEED = 20_240_601
 #: Words of a worker whose hashes are kept; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
@@ -132,6 +137,47 @@ def index_entries(classes: DataFrame) -> DataFrame:
     return classes.where("sig is not null").select("node", F.explode(F.array(*keys)).alias("key"))
 
 
+def packed(sig: str = "sig") -> list[Column]:
+    """Longs with 4 bits for each symbol, of which the highest is free: 15 symbols a long."""
+    symbols = CHUNKS * WIDTH
+    out = []
+    for i in range(0, symbols, 15):
+        lanes = [F.shiftleft((F.get(sig, F.lit(j)) % 8).cast("long"), 4 * (j - i)) for j in range(i, min(i + 15, symbols))]
+        out.append(reduce(lambda x, y: x.bitwiseOR(y), lanes))
+    return out
+
+
+def distance(a: str, b: str) -> Column:
+    """Symbols that differ between two arrays of packed longs, by 3 bits of each (a difference can be missed, not made up)."""
+    low, high = 0x0777777777777777, 0x0888888888888888
+    n = -(-CHUNKS * WIDTH // 15)
+    parts = [F.bit_count((F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) + F.lit(low)).bitwiseAND(F.lit(high))) for i in range(n)]
+    return reduce(lambda x, y: x + y, parts)
+
+
+def neighbours(members: DataFrame) -> DataFrame:
+    """(a, b): nodes that follow each other in the order of an entry's signatures. Entries are cut where sorted ranges of
+    rows end, so that none has to fit a task; what is missed there is for the later rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            key, node = (b.column(i).to_numpy() for i in (0, 1))
+            if last is not None:
+                key, node = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], node])
+            if len(key):
+                last = key[-1], node[-1]
+            same = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
+            x, y = node[1:][same], node[:-1][same]
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    # each entry begins its order at another symbol
+    turn = F.pmod("key", F.lit(CHUNKS * WIDTH)).cast("int")
+    order = F.concat(F.slice("sig", turn + 1, F.lit(CHUNKS * WIDTH)), F.slice("sig", F.lit(1), turn))
+    keyed = members.select("key", "node", order.alias("order")).repartitionByRange("key", "order", "node").sortWithinPartitions("key", "order", "node")
+    return keyed.select("key", "node").mapInArrow(run, "a long, b long").distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` with 100 * intersection >= percent * union of their full shingle sets."""
 
@@ -152,6 +198,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def signature(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges."""
+    h = F.xxhash64("hi", "lo")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node in ``links`` (a, b): comp is the smallest node it reaches.
 
@@ -165,7 +217,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         after = written(small, "links")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+        if signature(after) == signature(edges):
             return after.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).unionByName(after.select(F.col("lo").alias("node"), F.col("lo").alias("comp"))).distinct()
         edges = after
 
@@ -175,39 +227,48 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     text_hash."""
     rows = written(sketches(docs, k, id_col, text_col), "sketches")
     # a node is a class of equal word sequences, named by a hash of its fingerprint
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig")).withColumn("node", F.xxhash64("fp"))
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).withColumn("node", F.xxhash64("fp"))
     entries = index_entries(classes)
     shared = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key")
-    open_ = written(entries.join(shared, "key").select("key", "node"), "entries")
-    met = open_.select("node").distinct()
-    wanted = classes.join(met, "node").select("node", "class_id")
+    own = classes.select("node", "sig", "n_shingles")
+    open_ = written(entries.join(shared, "key").select("key", "node").join(own, "node").select("key", "node", "sig", "n_shingles"), "entries")
+    wanted = classes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "class_id")
     texts = written(texts_of(docs, wanted, id_col, text_col), "texts")
 
-    comps = None
-    links = tested = None
-    members = open_.withColumn("comp", F.col("node"))
-    spread = 1
+    least = open_.groupBy("key").agg(F.min("node").alias("head"))
+    stars = open_.select("key", "node").join(least, "key").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    tested = written(stars.unionByName(neighbours(open_)).distinct(), "pairs")
+    comps = written(components(confirm(tested, texts, k, percent)), "components")
+    members = open_.select("key", "node", F.array(*packed()).alias("bits"), "n_shingles")
+    heads_of, spread = least, 1
     while True:
-        deal = F.pmod(F.xxhash64("node", F.lit(spread)), F.lit(spread))
-        heads = members.withColumn("deal", deal).groupBy("key", "deal").agg(F.min("node").alias("head"), F.min_by("comp", "node").alias("head_comp"))
-        pairs = members.join(heads, "key").where("comp <> head_comp").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = confirm(pairs, texts, k, percent)
-        links = written(found if links is None else links.unionByName(found), "confirmed")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        comps = written(components(links), "components")
-        rest = members.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        rest = members.join(heads_of.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
         # an entry stays open while a member that was no representative may link to one of another component
-        placed = rest.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        placed = rest.join(comps, "node", "left").select("key", "node", "bits", "n_shingles", F.coalesce("comp", "node").alias("comp"))
         spans = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         members = written(placed.join(spans, "key"), "open")
         if members.isEmpty():
             break
-        spread *= 8
-
-    of_node = classes.join(comps, "node", "left").select("fp", "class_id", F.coalesce("comp", "node").alias("comp"))
+        spread = min(64 * spread, 1 << 30)
+        deal = F.pmod(F.xxhash64("node", F.lit(spread)), F.lit(spread))
+        first = F.min_by(F.struct(F.col("node").alias("head"), F.col("comp").alias("head_comp"), F.col("bits").alias("head_bits"), F.col("n_shingles").alias("head_n")), "node")
+        heads_of = written(members.withColumn("deal", deal).groupBy("key", "deal").agg(first.alias("h")).select("key", "h.*"), "heads")
+        near = (F.col("comp") != F.col("head_comp")) & (100 * F.least("n_shingles", "head_n") >= percent * F.greatest("n_shingles", "head_n")) & (distance("bits", "head_bits") <= THRESHOLD)
+        pairs = members.join(heads_of.withColumnRenamed("key", "h_key"), (F.col("key") == F.col("h_key")) & near)
+        pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        found = written(confirm(pairs, texts, k, percent), "confirmed")
+        if not found.isEmpty():
+            # the links between components, contracted
+            of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}"))
+            ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+            above = written(components(ends), "contracted").select(F.col("node").alias("under"), F.col("comp").alias("over"))
+            moved = comps.unionByName(above.join(comps, F.col("under") == F.col("node"), "left_anti").select(F.col("under").alias("node"), F.col("under").alias("comp")))
+            comps = written(moved.join(above, F.col("comp") == F.col("under"), "left").select("node", F.coalesce("over", "comp").alias("comp")), "components")
+        members = members.drop("comp")
+
+    of_node = classes.select("node", "fp", "class_id").join(comps, "node", "left").select("fp", "class_id", F.coalesce("comp", "node").alias("comp"))
     least = of_node.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     of_fp = of_node.join(least, "comp").select(F.col("fp").alias("class_fp"), "class_id", "component_id")
     alone = F.col("n_shingles") == 0
