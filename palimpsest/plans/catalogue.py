@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import keywords as kw
 from palimpsest.functions import text as tx
 from palimpsest.operators import graph, merge, redact, scan, verify
+from palimpsest.plans import fixtures
+from palimpsest.sources import documents, mail, opc, pdf
 from palimpsest.session import table
 
 WORDS = ["License", "MIT License", "Apache License", "token", "of the", "@", "all rights"]
@@ -646,3 +648,50 @@ def q68_path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(_TARGETS)], "i long, part string, target string")
     rels = tx.rels_path(F.col("part"))
     return rows.select("i", tx.resolve(F.col("part"), F.col("target")).alias("resolved"), rels.alias("rels"), tx.rels_owner(rels).alias("owner"))
+
+
+# File formats, on generated documents -----------------------------------------------------------------------------------
+
+_ENCODED = ["Confidential 測試\r\n".encode(e) for e in ("utf-8", "utf-8-sig", "cp950")] + ["﻿Confidential 測試\r\n".encode(e) for e in ("utf-16-le", "utf-16-be")] + [b"\xff\xff\xff"]
+
+
+@query("""SELECT CAST(i AS BIGINT) AS i, encoding, chars FROM (VALUES (0, 'utf-8', 17), (1, 'utf-8-sig', 17), (2, 'cp950', 17), (3, 'utf-16-le', 18), (4, 'utf-16-be', 18), (5, NULL, NULL)) v(i, encoding, chars)""")
+def q64_decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(_ENCODED)], "i long, content binary")
+    return documents.decode_text(rows, "content").select("i", "encoding", F.length("text").alias("chars"))
+
+
+def _files(spark: SparkSession) -> DataFrame:
+    rows = [("a.docx", fixtures.docx()), ("b.xlsx", fixtures.xlsx()), ("c.eml", fixtures.EML), ("d.pdf", fixtures.pdf()), ("e.docx", b"no package")]
+    return spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "source string, content binary")
+
+
+@query("""SELECT * FROM (VALUES ('a.docx', 'word/document.xml', '/document/body/p', 'text', 'Keep Confidential tail', false, 1)) v(source, part, path, kind, text, protected, matches)""")
+def q65_opc_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword split over runs is found in the paragraph."""
+    parts = opc.parts_of(_files(spark).where("source in ('a.docx', 'e.docx')")).where("error is null")
+    pattern = kw.spark_pattern(["Confidential"])
+    return opc.paragraphs(opc.groups_of(parts)).where(F.col("text").rlike(pattern)).withColumn("matches", F.regexp_count("text", F.lit(pattern)))
+
+
+@query("""SELECT * FROM (VALUES ('Subject', 'header', false, 1, true), ('0.0', 'text/plain', false, 1, true), ('0.1', 'text/plain', true, 1, false)) v(path, ctype, attached, matches, cleanable)""")
+def q66_eml_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = mail.parts_of(_files(spark).where("source = 'c.eml'"))
+    text = F.coalesce("text", F.col("payload").cast("string"), F.lit(""))
+    return parts.select("path", "ctype", "attached", F.regexp_count(text, F.lit(kw.spark_pattern(["Confidential"]))).alias("matches"), (~F.col("attached") & ~F.col("sealed")).alias("cleanable"))
+
+
+@query("""SELECT page, op, text, safe, CAST(advance AS DOUBLE) AS advance FROM (VALUES (1, 'Tj', 'Public ab', true, -6083.333333), (1, 'TJ', 'Confidential', true, -8010.0), (1, 'Tj', 'x', false, 0.0)) v(page, op, text, safe, advance)""")
+def q67_pdf_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.items_of(_files(spark).where("source = 'd.pdf'")).select("page", "op", "text", "safe", F.round("advance", 6).alias("advance"))
+
+
+@query("""SELECT * FROM (VALUES ('xl/worksheets/sheet1.xml', 'B1', 's', 'Confidential', NULL), ('xl/worksheets/sheet1.xml', 'C1', 's', 'Confidential', NULL), ('xl/worksheets/sheet1.xml', 'D1', 'n', '3', '1+2')) v(part, ref, kind, value, formula)""")
+def q69_xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return opc.cells_of(_files(spark).where("source = 'b.xlsx'")).select("part", "ref", "kind", "value", "formula")
+
+
+@query("""SELECT * FROM (VALUES ('e.docx', 'no readable package')) v(source, error)""")
+def q70_error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that cannot be read are rows, not failures."""
+    return opc.parts_of(_files(spark).where("source in ('a.docx', 'e.docx')")).where("error is not null").select("source", "error")
