@@ -90,7 +90,7 @@ def paths_of(root: ET.Element) -> dict[ET.Element, str]:
 
 
 def labelled(element: ET.Element) -> bool:
-    return any("mip_label_" in v.lower() for v in element.attrib.values())
+    return any("msip_label_" in v.lower() or "mip_label_" in v.lower() for v in element.attrib.values())
 
 
 def text_groups(part: str, payload: bytes) -> Iterator[tuple[str, str, int, str, bool]]:
