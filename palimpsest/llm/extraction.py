@@ -72,7 +72,9 @@ LABELLED = (
     'will follow.</p></div><div class="related"><p>Also in this series: how the hall was built and who paid for the great organ in it.</p></div><div class="newsletter"><p>Get our letter every week.</p></div></body>',
     '<body><main><table><tr><td data-keep>Length</td><td data-keep>Twelve metres over all</td></tr><tr><td data-keep>Built</td><td data-keep>In the yard at the north end of the harbour</td></tr></table><p data-keep>See <a href=/k>keel</a>'
     ' and <a href=/m>mast</a>.</p></main><div role="contentinfo"><p>Text under a free licence; further terms may apply to pictures.</p></div></body>',
-    "<body><p><a href=/1>One</a></p><p><a href=/2>Two</a></p><p><a href=/3>Three</a></p><p>Terms of use</p></body>",
+    "<body><p><a href=/1>One</a></p><p><a href=/2>Two</a></p><p><a href=/3>Three</a></p></body>",
+    "<body><article><p data-keep>One line is all that was ever written down about it.</p></article></body>",
+    "<body><p data-keep>Closed until spring.</p></body>",
     '<body><article><p data-keep>Fog.</p></article><div class="ad">Fly to the islands in the sun for less than you think, book your seat before the end of the month and save.</div><footer><p>Published every day but '
     "Sunday by the society of friends of the old town, printed on our own press in the yard behind the church.</p></footer></body>",
     '<body><div class="nav"><a href=/1>Home</a> <a href=/2>Forum</a></div><h2 data-keep>How we mended the roof</h2><p data-keep>It leaked.</p><p data-keep>We took the old tiles off one by one, numbered them with chalk and laid '
