@@ -9,8 +9,8 @@ bit matrices. Any baseline decoder reads the files; ``decode_frames`` reads them
 to the coefficients and, by the inverse transform, to samples; tables of fixed length take the matrix way.
 
 Shots: a frame's difference from the one before is the L1 distance of their sample histograms; a cut is where it
-exceeds the mean plus CUT_SIGMAS standard deviations of the WINDOW differences before it, and CUT_LEAST at least. Runs
-between cuts are clips with times from the frame rate.
+exceeds the mean plus CUT_SIGMAS standard deviations of the last WINDOW differences that were no cuts, and CUT_LEAST at
+least. Runs between cuts are clips with times from the frame rate.
 
 Defined results: null and empty texts are one group of blanks; ties and repeated rows give equal values; media that are
 null or no AVI give null features; an empty table gives an empty result. Other columns are not read.
@@ -339,12 +339,13 @@ def histograms(frames: np.ndarray) -> np.ndarray:
 def clips_of(hist: np.ndarray, fps: float) -> list[tuple[int, int, float, float]]:
     """(first frame, frame after the last, start and end in seconds) of each shot."""
     diff = np.abs(np.diff(hist, axis=0)).sum(1)
-    cuts = [0]
+    cuts, calm = [0], []
     for i, d in enumerate(diff.tolist()):
-        before = diff[max(0, i - WINDOW) : i]
-        limit = max(CUT_LEAST, float(before.mean() + CUT_SIGMAS * before.std()) if len(before) > 1 else CUT_LEAST)
-        if d > limit:
+        before = np.array(calm[-WINDOW:])
+        if d > max(CUT_LEAST, float(before.mean() + CUT_SIGMAS * before.std()) if len(before) > 1 else CUT_LEAST):
             cuts.append(i + 1)
+        else:
+            calm.append(d)
     ends = [*cuts[1:], len(hist)]
     return [(a, b, a / fps, b / fps) for a, b in zip(cuts, ends, strict=True)]
 
