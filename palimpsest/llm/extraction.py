@@ -2,7 +2,8 @@
 
 A page is cut into blocks: the text between block-level tags, as it stands in the page. A block's features are its word
 count and link density, those of the blocks before and after it, and what its enclosing elements say of themselves
-(navigation, footers, asides, forms, names like "ad" or "comments"; articles; headings). A decision tree, grown by Gini
+(navigation, footers, asides, forms, names like "ad" or "comments"; articles, and whether it stands beside one;
+headings). A decision tree, grown by Gini
 impurity on the blocks of a small labelled table of pages (``LABELLED``), says which blocks belong to the article.
 
 Scripts, styles, comments and other markup never reach a block. Character references are decoded, white space inside a
@@ -45,9 +46,11 @@ BOILER_WORDS = frozenset(
     "share sharing social related recommended recommendations more newsletter subscribe subscription signup login search widget popup modal overlay pagination pager "
     "tags toolbar copyright legal skip complementary contentinfo dialog".split()
 )
+#: Openings of such words.
+BOILER_STEMS = ("advert", "adsby", "adslot", "adbanner", "sponsor", "promo", "banner", "cookie", "consent", "navbar", "navig", "breadcrumb", "sidebar", "footer", "masthead", "comment", "disqus", "newsletter", "subscri", "recommend", "pagination", "popup", "copyright", "disclaimer")
 MAIN_WORDS = frozenset("article content post entry story main articlebody text".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "main", "heading", "in_list")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "main", "heading", "in_list", "beside_main")
 
 #: Labelled blocks: pages in which the article's blocks carry the attribute data-keep.
 LABELLED = (
@@ -75,6 +78,10 @@ LABELLED = (
     "<body><p><a href=/1>One</a></p><p><a href=/2>Two</a></p><p><a href=/3>Three</a></p></body>",
     "<body><article><p data-keep>One line is all that was ever written down about it.</p></article></body>",
     "<body><p data-keep>Closed until spring.</p></body>",
+    "<body><div>The Valley Courier, founded when the railway came to the valley</div><article><h1 data-keep>Mill for sale</h1><p data-keep>The old mill has been for sale since the spring and nobody has asked for its price.</p><p data-keep>It "
+    "stands empty.</p></article><p>The Courier is printed on paper from the valley and is sold at the station, at the baker's and in both inns.</p></body>",
+    "<body><p>Today: sun</p><main><h2 data-keep>Two goals</h2><p data-keep>The first came early.</p><p data-keep>Nobody saw the second, since by then the fog lay on the field and even the players had lost each other.</p></main><div><p>All "
+    "times are those of the station clock.</p></div></body>",
     '<body><article><p data-keep>Fog.</p></article><div class="ad">Fly to the islands in the sun for less than you think, book your seat before the end of the month and save.</div><footer><p>Published every day but '
     "Sunday by the society of friends of the old town, printed on our own press in the yard behind the church.</p></footer></body>",
     '<body><div class="nav"><a href=/1>Home</a> <a href=/2>Forum</a></div><h2 data-keep>How we mended the roof</h2><p data-keep>It leaked.</p><p data-keep>We took the old tiles off one by one, numbered them with chalk and laid '
@@ -107,7 +114,7 @@ def hint_of(tag: str, attributes: str) -> tuple[int, int]:
             name, value = name.strip().lower(), value.strip().strip("\"'")
             if name in ("class", "id", "role", "aria-label"):
                 words = {w.lower() for part in value.split() for w in WORD_BREAK.split(part.lower()) if w}
-                boiler |= not words.isdisjoint(BOILER_WORDS)
+                boiler |= not words.isdisjoint(BOILER_WORDS) or any(w.startswith(BOILER_STEMS) for w in words)
                 main |= not words.isdisjoint(MAIN_WORDS)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                 boiler = 1
@@ -204,7 +211,8 @@ def matrix_of(blocks: list[Block]) -> np.ndarray:
     """(blocks, FEATURES); places before the first and after the last count as empty."""
     own = np.array([[min(b.words, 100), min(1.0, b.linked / b.words)] for b in blocks]).reshape(-1, 2)
     none = np.zeros((1, 2))
-    rest = np.array([[b.boiler > 0, b.main > 0, b.heading, b.in_list] for b in blocks], float).reshape(-1, 4)
+    has_main = any(b.main > 0 for b in blocks)
+    rest = np.array([[b.boiler > 0, b.main > 0, b.heading, b.in_list, has_main and not b.main] for b in blocks], float).reshape(-1, 5)
     return np.hstack([own, np.vstack([none, own[:-1]])[: len(own)], np.vstack([own[1:], none])[-len(own) :] if len(own) else own, rest])
 
 
