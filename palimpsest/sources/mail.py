@@ -12,6 +12,7 @@ from email.parser import BytesParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.sources import html
 from palimpsest.sources.opc import _map
 
 #: Content types of signed or encrypted mail (fixed values).
@@ -75,7 +76,7 @@ def inspected_attachments(parts: DataFrame, suffixes: tuple[str, ...]) -> DataFr
 
 
 def clean(raw: bytes, pattern: re.Pattern, paths: set[str] | None = None, block: bool = False) -> bytes:
-    """The message with keywords gone from the subject and the lines of text/plain parts (of ``paths``, or all).
+    """The message with keywords gone from the subject, text lines and HTML blocks (of ``paths``, or all).
 
     Addresses and other parts stay as they are, which is checked. Sealed mail is refused."""
     msg = message(raw)
@@ -84,14 +85,22 @@ def clean(raw: bytes, pattern: re.Pattern, paths: set[str] | None = None, block:
     if "Subject" in msg and (paths is None or "Subject" in paths):
         msg.replace_header("Subject", pattern.sub("", str(msg["Subject"])))
     for path, part, attached in walk(msg):
-        if attached or part.get_content_type() != "text/plain" or (paths is not None and path not in paths):
+        kind = part.get_content_type()
+        if attached or kind not in ("text/plain", "text/html") or (paths is not None and path not in paths):
             continue
-        lines = part.get_content().splitlines(keepends=True)
-        for i, line in enumerate(lines):
-            if pattern.search(line):
-                end = "\r\n" if line.endswith("\r\n") else "\n" if line.endswith("\n") else ""
-                lines[i] = ("" if block else pattern.sub("", line).rstrip("\r\n")) + end
-        part.set_payload(base64.encodebytes("".join(lines).encode(part.get_content_charset() or "utf-8")).decode("ascii"))
+        text = part.get_content()
+        if not pattern.search(text) and kind == "text/plain":
+            continue
+        if kind == "text/html":
+            text = html.clean(text, pattern, block)
+        else:
+            lines = text.splitlines(keepends=True)
+            for i, line in enumerate(lines):
+                if pattern.search(line):
+                    end = "\r\n" if line.endswith("\r\n") else "\n" if line.endswith("\n") else ""
+                    lines[i] = ("" if block else pattern.sub("", line).rstrip("\r\n")) + end
+            text = "".join(lines)
+        part.set_payload(base64.encodebytes(text.encode(part.get_content_charset() or "utf-8")).decode("ascii"))
         del part["Content-Transfer-Encoding"]
         part["Content-Transfer-Encoding"] = "base64"
     out = msg.as_bytes(policy=policy.SMTP)

@@ -123,3 +123,64 @@ def items_of(documents: DataFrame) -> DataFrame:
                 yield source, n, idx, op, text, safe, advance, can_clean
 
     return _map(documents.select("source", "content"), ITEMS_SCHEMA, make)
+
+
+def show_spans(content: bytes) -> Iterator[tuple[int, int, int, str, list[bytes]]]:
+    """(idx, begin, end, op, operands) of the operators, with their places in the stream."""
+    args, begin, idx = [], None, 0
+    for m in TOKEN.finditer(content):
+        if begin is None:
+            begin = m.start()
+        if re.fullmatch(rb"[A-Za-z'\"*][A-Za-z0-9*]*", m[0]):
+            yield idx, begin, m.end(), m[0].decode("latin1"), args
+            args, begin, idx = [], None, idx + 1
+        else:
+            args.append(m[0])
+
+
+def clean(raw: bytes, pattern: re.Pattern, selected: set[tuple[int, int]] | None = None) -> bytes:
+    """The file with the matching text-show operators (of ``selected`` page and idx, or all) replaced, whole, by a TJ of
+    the same advance, so that nothing else moves. Unsafe operators are refused; what is kept is read back and compared.
+
+    The objects are written anew with a cross-reference table; older revisions of the file do not survive."""
+    if PROTECTED.search(raw):
+        raise ValueError("protected, signed or encrypted")
+    objs = objects(raw)
+    pages = [(i, b) for i, b in sorted(objs.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)]
+    for n, (_, page) in enumerate(pages, 1):
+        fonts, places = fonts_of(page, objs), refs(page, rb"/Contents")
+        content = b"\n".join(stream_of(objs[r]) or b"" for r in places)
+        items = {i: (op, text, safe, advance) for i, op, text, safe, advance in text_items(content, fonts)}
+        out, at = [], 0
+        for idx, begin, end, op, args in show_spans(content):
+            if idx not in items or not pattern.search(items[idx][1]) or (selected is not None and (n, idx) not in selected):
+                continue
+            if not items[idx][2]:
+                raise ValueError("a text block that is not safe to remove")
+            lead = (b"%s Tw %s Tc T* " % (args[-3], args[-2])) if op == '"' else b"T* " if op == "'" else b""
+            out += [content[at:begin], lead, b"[%.6f] TJ" % items[idx][3]]
+            at = end
+        if not out:
+            continue
+        packed = zlib.compress(b"".join(out) + content[at:])
+        objs[places[0]] = b"<</Length %d/Filter/FlateDecode>>stream\n%s\nendstream " % (len(packed), packed)
+        for r in places[1:]:
+            objs[r] = b"<</Length 0>>stream\n\nendstream "
+        kept = [x[1] for i, x in sorted(items.items()) if x[1] and not (pattern.search(x[1]) and (selected is None or (n, i) in selected))]
+        if kept != [x[2] for x in text_items(stream_of(objs[places[0]]) or b"", fonts) if x[2]]:
+            raise ValueError("kept text would change")
+    return assembled(objs, raw)
+
+
+def assembled(objs: dict[int, bytes], raw: bytes) -> bytes:
+    trailer = b"".join(re.findall(rb"/(?:Root|Info)\s+\d+\s+\d+\s+R", raw[raw.rfind(b"trailer") :]))
+    out, places = [raw[: raw.find(b"\n") + 1]], {}
+    at = len(out[0])
+    for i, body in sorted(objs.items()):
+        one = b"%d 0 obj%s endobj\n" % (i, body)
+        places[i] = at
+        out.append(one)
+        at += len(one)
+    size = max(objs, default=0) + 1
+    rows = b"".join(b"%010d 00000 n \n" % places[i] if i in places else b"0000000000 65535 f \n" for i in range(size))
+    return b"".join(out) + b"xref\n0 %d\n%strailer<</Size %d%s>>\nstartxref\n%d\n%%%%EOF\n" % (size, rows, size, trailer, at)

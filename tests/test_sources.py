@@ -131,3 +131,30 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_summary(spark):
     df = spark.sql("SELECT array(named_struct('location', 'l', 'category', 'c', 'context', 'x')) f")
     assert df.select(sinks.summary(F.col("f"), F.lit("completed"), F.lit(1))).first()[0] == "status: completed\nmatches: 1\nl | c | x"
+
+
+def test_html_clean():
+    word = re.compile("confidential", re.I)
+    page = '<p title="Confidential">Confi<b><i>dential</i></b> &amp; n&#111;te</p><script>Confidential</script><p>keep</p>'
+    assert html.clean(page, word) == '<p title="Confidential"><b><i></i></b> &amp; n&#111;te</p><script>Confidential</script><p>keep</p>'
+    assert html.clean(page, word, block=True) == '<p title="Confidential"><b><i></i></b></p><script>Confidential</script><p>keep</p>'
+    assert html.clean("<p>a&lt;confidential&gt;</p>", word) == "<p>a&lt;&gt;</p>"
+
+
+def test_pdf_clean():
+    word = re.compile("confidential", re.I)
+    out = pdf.clean(fixtures.pdf(), word)
+    objs = pdf.objects(out)
+    stream = pdf.stream_of(objs[4])
+    assert b"[-8010.000000] TJ" in stream and b"(Public ab) Tj" in stream and b"dential" not in stream
+    assert int(re.search(rb"startxref\n(\d+)", out)[1]) == out.index(b"xref\n0 ")
+    with pytest.raises(ValueError, match="safe"):
+        pdf.clean(fixtures.pdf(), re.compile("^x$"))
+    with pytest.raises(ValueError, match="protected"):
+        pdf.clean(fixtures.pdf() + b"/Encrypt 9 0 R", word)
+
+
+def test_mail_html_part():
+    raw = b"Subject: s\r\nMIME-Version: 1.0\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>Confi<b>dential</b> note</p>\r\n"
+    out = mail.message(mail.clean(raw, re.compile("confidential", re.I)))
+    assert out.get_content().strip() == "<p><b></b> note</p>"
