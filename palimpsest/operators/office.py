@@ -283,6 +283,45 @@ class Package:
         live = self.reach({""})
         self.delete({p for p in candidates - live if p.startswith(PRUNABLE)})
 
+    def remove_slide_annotations(self, notes: bool = True, comments: bool = True) -> None:
+        """Speaker notes and comments (of either kind) of all slides, with the lists of their authors."""
+        gone = set()
+        for part in [p for p in self.parts if re.fullmatch(r"ppt/slides/[^/]+\.xml", p)]:
+            for n, t in self.links(part):
+                kind = n.attrs.get("Type", "").rpartition("/")[2]
+                if t and ((notes and kind == "notesSlide") or (comments and kind.lower() == "comments")):
+                    gone.add(t)
+        if comments:
+            gone.update(t for n, t in self.links("ppt/presentation.xml") if t and n.attrs.get("Type", "").rpartition("/")[2] in ("commentAuthors", "authors"))
+        self.drop(gone)
+
+    def remove_sheet_annotations(self, threaded: bool = True, notes: bool = True) -> None:
+        """Threaded comments and notes of all sheets. A comment whose cell has a thread belongs to the thread; the boxes
+        of removed ones go from the drawings, other shapes stay."""
+        for sheet in [p for p in self.parts if re.fullmatch(r"xl/worksheets/[^/]+\.xml", p)]:
+            of = {k: [t for n, t in self.links(sheet) if t and n.attrs.get("Type", "").lower().endswith("/" + k)] for k in ("threadedcomment", "comments", "vmldrawing")}
+            threads = {n.attrs.get("ref") for t in of["threadedcomment"] for n in nodes_of(self.parts[t]) if n.name == "threadedComment"}
+            gone = set(of["threadedcomment"]) if threaded else set()
+            cells: set[str | None] = set()
+            for part in of["comments"]:
+                own = [n for n in nodes_of(self.parts[part]) if n.name == "comment"]
+                out = [n for n in own if (threaded if n.attrs.get("ref") in threads else notes)]
+                cells.update(n.attrs.get("ref") for n in out)
+                if len(out) == len(own):
+                    gone.add(part)
+                else:
+                    self.edit(part, [(n.begin, n.end, b"") for n in out])
+            for part in of["vmldrawing"]:
+                edits = []
+                for n in nodes_of(self.parts[part]):
+                    data = next((c for c in n.children if c.name == "ClientData" and c.attrs.get("ObjectType") == "Note"), None) if n.name == "shape" else None
+                    if data is not None:
+                        at = {c.name: c.text.strip() for c in data.children}
+                        if at.get("Row", "").isdigit() and at.get("Column", "").isdigit() and a1(int(at["Row"]), int(at["Column"])) in cells:
+                            edits.append((n.begin, n.end, b""))
+                self.edit(part, edits)
+            self.drop(gone)
+
     def problems(self) -> list[str]:
         """What makes the package invalid."""
         found = []
@@ -309,6 +348,14 @@ def _below(node: Node, name: str) -> list[Node]:
     return out
 
 
+def a1(row: int, column: int) -> str:
+    name, column = "", column + 1
+    while column:
+        column, digit = divmod(column - 1, 26)
+        name = chr(65 + digit) + name
+    return f"{name}{row + 1}"
+
+
 def exactly_one(found: list[str], owner: str) -> list[str]:
     if len(found) != 1:
         raise PackageError(f"not exactly one layout or master: {owner}")
@@ -335,7 +382,7 @@ def edit_packages(documents: DataFrame, work: Callable[[Package, str], None]) ->
 
 
 def clean_packages(documents: DataFrame, words: list[str], block: bool = False, comments: bool = False, prune: bool = False) -> DataFrame:
-    """Keyword cleaning of packages, with Word comments and unused templates removed if asked for."""
+    """Keyword cleaning of packages, with comments, notes and unused templates removed if asked for."""
     normalize(words)
 
     def work(package: Package, source: str) -> None:
@@ -348,6 +395,10 @@ def clean_packages(documents: DataFrame, words: list[str], block: bool = False,
         package.clean_sheets(pattern, block)
         if comments and "word/document.xml" in package.parts:
             package.remove_word_comments()
+        if comments and "ppt/presentation.xml" in package.parts:
+            package.remove_slide_annotations()
+        if comments and "xl/workbook.xml" in package.parts:
+            package.remove_sheet_annotations()
         if prune and "ppt/presentation.xml" in package.parts:
             package.prune_template()
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import keywords as kw
 from palimpsest.functions import text as tx
-from palimpsest.operators import graph, merge, redact, scan, verify
+from palimpsest.operators import graph, inspect, merge, office, redact, scan, verify
 from palimpsest.plans import fixtures
 from palimpsest.sources import documents, mail, opc, pdf
 from palimpsest.session import table
@@ -695,3 +695,15 @@ def q69_xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q70_error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that cannot be read are rows, not failures."""
     return opc.parts_of(_files(spark).where("source in ('a.docx', 'e.docx')")).where("error is not null").select("source", "error")
+
+
+@query("""SELECT * FROM (VALUES ('a.docx', 'Word', 0, 0, 1, false, NULL), ('b.xlsx', 'Excel', 0, 0, 0, false, NULL), ('e.docx', NULL, NULL, NULL, NULL, NULL, 'no readable package')) v(source, kind, slides, revisions, media, tracking, error)""")
+def q71_package_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = inspect.stats_of(_files(spark).where("source in ('a.docx', 'b.xlsx', 'e.docx')"))
+    return stats.select("source", "kind", "slides", "revisions", "media", "tracking", "error")
+
+
+@query("""SELECT * FROM (VALUES ('a.docx', 2, NULL), ('b.xlsx', 4, NULL), ('e.docx', 0, 'no readable package')) v(source, edits, error)""")
+def q72_clean_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits: two runs of a paragraph; two cells and the two runs of the shared string that no cell uses any more."""
+    return office.clean_packages(_files(spark).where("source in ('a.docx', 'b.xlsx', 'e.docx')"), ["Confidential"]).select("source", "edits", "error")

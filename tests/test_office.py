@@ -100,3 +100,46 @@ def test_missing_targets_are_reported():
     assert len(office.Package(opc.write_package(list(parts.items()))).problems()) == 2
     with pytest.raises(opc.PackageError):
         office.nodes_of(b"<!DOCTYPE a><a/>")
+
+
+def test_sheet_notes_go_controls_stay():
+    vml = '<xml xmlns:v="urn:schemas-microsoft-com:vml" xmlns:x="urn:schemas-microsoft-com:office:excel">' + "".join(
+        f'<v:shape id="{i}"><x:ClientData ObjectType="{k}"><x:Row>0</x:Row><x:Column>{c}</x:Column></x:ClientData></v:shape>' for i, k, c in (("n", "Note", 0), ("t", "Note", 1), ("b", "Button", 0))
+    ) + "</xml>"
+    rel = lambda i, kind, target: f'<Relationship Id="{i}" Type="{R}/{kind}" Target="{target}"/>'
+    parts = dict(opc.read_parts(fixtures.xlsx())) | {
+        "[Content_Types].xml": b"<Types/>",
+        "_rels/.rels": f'<Relationships xmlns="{opc.RELATIONSHIPS}">{rel("a", "officeDocument", "xl/workbook.xml")}</Relationships>'.encode(),
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{opc.RELATIONSHIPS}">{rel("a", "worksheet", "worksheets/sheet1.xml")}</Relationships>'.encode(),
+        "xl/comments1.xml": f'<comments xmlns="{opc.S}"><commentList><comment ref="A1"/><comment ref="B1"/></commentList></comments>'.encode(),
+        "xl/threadedComments/t1.xml": b'<T><threadedComment ref="B1"/></T>',
+        "xl/drawings/v.vml": vml.encode(),
+        "xl/worksheets/_rels/sheet1.xml.rels": f'<Relationships xmlns="{opc.RELATIONSHIPS}">{rel("c", "comments", "../comments1.xml")}{rel("t", "threadedComment", "../threadedComments/t1.xml")}{rel("v", "vmlDrawing", "../drawings/v.vml")}</Relationships>'.encode(),
+    }
+    raw = opc.write_package(list(parts.items()))
+    package = office.Package(raw)
+    package.remove_sheet_annotations(threaded=False)
+    assert b'ref="B1"' in package.parts["xl/comments1.xml"] and b'ref="A1"' not in package.parts["xl/comments1.xml"]
+    assert b'id="n"' not in package.parts["xl/drawings/v.vml"] and b'id="t"' in package.parts["xl/drawings/v.vml"] and b'id="b"' in package.parts["xl/drawings/v.vml"]
+    package = office.Package(raw)
+    package.remove_sheet_annotations()
+    assert "xl/comments1.xml" not in package.parts and "xl/threadedComments/t1.xml" not in package.parts and not package.problems()
+
+
+def test_labels_and_guards():
+    from palimpsest.operators import inspect
+
+    def labelled(state):
+        rel = f'<Relationship Id="l" Type="http://x/classificationlabels" Target="docMetadata/LabelInfo.xml"/>'
+        parts = dict(opc.read_parts(fixtures.docx()))
+        parts["_rels/.rels"] = parts["_rels/.rels"].replace(b"</Relationships>", rel.encode() + b"</Relationships>")
+        parts["docMetadata/LabelInfo.xml"] = f"<labelList><label {state}/></labelList>".encode()
+        return inspect.inspected("a", opc.write_package(list(parts.items())))
+
+    assert "id=x" in labelled('id="x" siteId="s" enabled="1" removed="0"')[-2]
+    assert labelled('id="x" siteId="s" enabled="0" removed="1"')[-2:] == ("", None)
+    assert labelled('id="x" siteId="s" enabled="0" removed="0"')[-1]
+    assert inspect.editable_attribute(opc.W, "pStyle", f"{opc.W}}}val") and not inspect.editable_attribute(opc.W, "pStyle", f"{R}}}id")
+    import re
+
+    assert not inspect.header_is_editable('&"Draft,Bold"x', re.compile("draft", re.I)) and inspect.header_is_editable("Draft", re.compile("draft", re.I))
