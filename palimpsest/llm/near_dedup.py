@@ -1,17 +1,17 @@
 """Near-duplicate detection: b-bit MinHash signatures, a multi-index Hamming join, exact confirmation, components.
 
-Signature: CHUNKS * WIDTH symbols of BITS bits, each the low bits of a minimum over the document's shingles. Two
-signatures at distance <= CHUNKS * (ERRORS + 1) - 1 symbols have, by the pigeonhole principle, a chunk with at most
-ERRORS wrong symbols; every chunk is therefore indexed once for each choice of ERRORS of its symbols left out. All
-pairs under the threshold of 15 of 40 symbols meet in an index entry; two documents of similarity 0.85 differ in 6 on
-average. What meets is confirmed on the full shingle sets.
+Short signature: CHUNKS * WIDTH symbols of BITS bits, each bits of a minimum over the document's shingles. Two of them at
+distance <= CHUNKS * (ERRORS + 1) - 1 symbols have, by the pigeonhole principle, a chunk with at most ERRORS wrong
+symbols; every chunk is therefore indexed once for each choice of ERRORS of its symbols left out. All pairs under the
+threshold of 15 of 40 symbols meet in an index entry; two documents of similarity 0.85 differ in 6 on average. Long
+signature: 510 symbols of 3 bits, whose distance is compared in the join of entries (``farthest``). What meets is
+confirmed on the full shingle sets.
 
 Large groups: an entry (key) with g members is not expanded into its g * g / 2 pairs. The first round confirms, of each
 entry, the pairs with its smallest member and the pairs of neighbours in the order of the signatures, both linear in g;
 confirmed links are contracted into components, which takes groups of copies together. Each later round deals an
 entry's members into R hash classes; the smallest of each is a representative, and the pairs of representatives with
-members of other components are confirmed if their signatures are within the threshold and their set sizes allow the
-similarity. Representatives leave the entry, and an entry whose rest lies in one component is done. The rounds end only
+members of other components are confirmed if their long signatures are near and their set sizes allow the similarity. Representatives leave the entry, and an entry whose rest lies in one component is done. The rounds end only
 when no entry is open, so no such link between different components is lost.
 
 Defined results: equal word sequences form one class before any comparison. A null, empty or white text has no
@@ -36,13 +36,15 @@ from palimpsest.session import fresh, table, written
 SHINGLE_WORDS = 5
 SIMILARITY = 80
 CHUNKS, WIDTH, ERRORS, BITS = 8, 5, 1, 16
-#: Symbols in which two signatures may differ: what the chunks guarantee.
-THRESHOLD = CHUNKS * (ERRORS + 1) - 1
+#: Symbols of 3 bits of the long signature, 15 to a 64-bit word.
+LANES, LONG_WORDS = 15, 34
+#: Standard deviations beyond the mean distance at the similarity sought that the long signatures may differ by.
+SIGMAS = 4.75
 SEED = 20_240_601
 #: Words of a worker whose hashes are kept; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
 
-SKETCH_SCHEMA = "doc_id long, text_hash long, fp binary, n_shingles long, sig array<int>"
+SKETCH_SCHEMA = "doc_id long, text_hash long, fp binary, n_shingles long, sig array<int>, bits array<long>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,20 +60,22 @@ def shingles_of(words: list[bytes], k: int) -> set:
 
 
 class Sketcher:
-    def __init__(self, k: int, symbols: int, bits: int, seed: int):
+    def __init__(self, k: int, seed: int = SEED):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.k, self.bits = k, bits
-        self.mul = rng.integers(0, 1 << 63, symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, symbols, dtype=np.uint64)
+        n = LANES * LONG_WORDS
+        self.k = k
+        self.mul = rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.add = rng.integers(0, 1 << 32, n, dtype=np.uint32)
         self.weights = rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.shifts = np.uint64(4) * np.arange(LANES, dtype=np.uint64)
         self.kept: dict[bytes, bytes] = {}
 
-    def sketch(self, text: str | None) -> tuple[bytes, int, list[int] | None]:
-        """Fingerprint of the word sequence, number of distinct shingles, signature (null without words)."""
+    def sketch(self, text: str | None) -> tuple[bytes, int, list[int] | None, list[int] | None]:
+        """Fingerprint of the word sequence, number of distinct shingles, short and long signature (null without words)."""
         words = words_of(text)
         fp = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
         if not words:
-            return fp, 0, None
+            return fp, 0, None, None
         if len(self.kept) > CACHE_WORDS:
             self.kept.clear()
         kept = self.kept
@@ -89,25 +93,27 @@ class Sketcher:
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(32)
             mixed = np.unique(mixed)
-        least = np.full(len(self.mul), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(mixed), 2048):
-            np.minimum(least, (mixed[i : i + 2048, None] * self.mul + self.add).min(0), out=least)
-        least *= np.uint64(0x94D049BB133111EB)
-        return fp, len(mixed), (least >> np.uint64(64 - self.bits)).astype(np.int32).tolist()
+        low = mixed.astype(np.uint32)
+        least = np.full(len(self.mul), 0xFFFFFFFF, np.uint32)
+        for i in range(0, len(low), 256):
+            np.minimum(least, (low[i : i + 256, None] * self.mul + self.add).min(0), out=least)
+        least *= np.uint32(0x9E3779B1)
+        lanes = (least >> np.uint32(29)).astype(np.uint64).reshape(LONG_WORDS, LANES)
+        return fp, len(mixed), (least[: CHUNKS * WIDTH] >> np.uint32(32 - BITS)).tolist(), (lanes << self.shifts).sum(1, dtype=np.uint64).astype(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SKETCH_SCHEMA for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Sketcher(k, CHUNKS * WIDTH, BITS, SEED)
+        maker = Sketcher(k)
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
                 made = [maker.sketch(t) for t in b.column(2).to_pylist()]
                 yield pa.record_batch(
-                    [b.column(0), b.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int32()))],
-                    names=["doc_id", "text_hash", "fp", "n_shingles", "sig"],
+                    [b.column(0), b.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int32())), pa.array([m[3] for m in made], pa.list_(pa.int64()))],
+                    names=["doc_id", "text_hash", "fp", "n_shingles", "sig", "bits"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH_SCHEMA)
@@ -137,24 +143,19 @@ def index_entries(classes: DataFrame) -> DataFrame:
     return classes.where("sig is not null").select("node", F.explode(F.array(*keys)).alias("key"))
 
 
-def packed(sig: str = "sig") -> list[Column]:
-    """Longs with 4 bits for each symbol, of which the highest is free: 15 symbols a long."""
-    symbols = CHUNKS * WIDTH
-    out = []
-    for i in range(0, symbols, 15):
-        lanes = [F.shiftleft((F.get(sig, F.lit(j)) % 8).cast("long"), 4 * (j - i)) for j in range(i, min(i + 15, symbols))]
-        out.append(reduce(lambda x, y: x.bitwiseOR(y), lanes))
-    return out
-
-
 def distance(a: str, b: str) -> Column:
-    """Symbols that differ between two arrays of packed longs, by 3 bits of each (a difference can be missed, not made up)."""
+    """Symbols that differ between two long signatures: a lane's spare bit is set where its other three are not all 0."""
     low, high = 0x0777777777777777, 0x0888888888888888
-    n = -(-CHUNKS * WIDTH // 15)
-    parts = [F.bit_count((F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) + F.lit(low)).bitwiseAND(F.lit(high))) for i in range(n)]
+    parts = [F.bit_count((F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) + F.lit(low)).bitwiseAND(F.lit(high))) for i in range(LONG_WORDS)]
     return reduce(lambda x, y: x + y, parts)
 
 
+def farthest(percent: int) -> int:
+    """The distance that long signatures of texts of this similarity exceed with probability 1e-6."""
+    n, p = LANES * LONG_WORDS, (1 - percent / 100) * 7 / 8
+    return int(n * p + SIGMAS * (n * p * (1 - p)) ** 0.5) + 1
+
+
 def neighbours(members: DataFrame) -> DataFrame:
     """(a, b): nodes that follow each other in the order of an entry's signatures. Entries are cut where sorted ranges of
     rows end, so that none has to fit a task; what is missed there is for the later rounds."""
@@ -227,11 +228,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     text_hash."""
     rows = written(sketches(docs, k, id_col, text_col), "sketches")
     # a node is a class of equal word sequences, named by a hash of its fingerprint
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).withColumn("node", F.xxhash64("fp"))
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")).withColumn("node", F.xxhash64("fp"))
     entries = index_entries(classes)
     shared = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key")
-    own = classes.select("node", "sig", "n_shingles")
-    open_ = written(entries.join(shared, "key").select("key", "node").join(own, "node").select("key", "node", "sig", "n_shingles"), "entries")
+    own = classes.select("node", "sig")
+    open_ = written(entries.join(shared, "key").select("key", "node").join(own, "node").select("key", "node", "sig"), "entries")
     wanted = classes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "class_id")
     texts = written(texts_of(docs, wanted, id_col, text_col), "texts")
 
@@ -239,21 +240,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     stars = open_.select("key", "node").join(least, "key").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     tested = written(stars.unionByName(neighbours(open_)).distinct(), "pairs")
     comps = written(components(confirm(tested, texts, k, percent)), "components")
-    members = open_.select("key", "node", F.array(*packed()).alias("bits"), "n_shingles")
+    members = open_.select("key", "node")
+    bits = classes.select("node", "bits", "n_shingles")
     heads_of, spread = least, 1
     while True:
         rest = members.join(heads_of.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
         # an entry stays open while a member that was no representative may link to one of another component
-        placed = rest.join(comps, "node", "left").select("key", "node", "bits", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+        placed = rest.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         spans = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        members = written(placed.join(spans, "key"), "open")
+        members = written(placed.join(spans, "key").join(bits, "node"), "open")
         if members.isEmpty():
             break
         spread = min(64 * spread, 1 << 30)
         deal = F.pmod(F.xxhash64("node", F.lit(spread)), F.lit(spread))
         first = F.min_by(F.struct(F.col("node").alias("head"), F.col("comp").alias("head_comp"), F.col("bits").alias("head_bits"), F.col("n_shingles").alias("head_n")), "node")
         heads_of = written(members.withColumn("deal", deal).groupBy("key", "deal").agg(first.alias("h")).select("key", "h.*"), "heads")
-        near = (F.col("comp") != F.col("head_comp")) & (100 * F.least("n_shingles", "head_n") >= percent * F.greatest("n_shingles", "head_n")) & (distance("bits", "head_bits") <= THRESHOLD)
+        near = (F.col("comp") != F.col("head_comp")) & (100 * F.least("n_shingles", "head_n") >= percent * F.greatest("n_shingles", "head_n")) & (distance("bits", "head_bits") <= farthest(percent))
         pairs = members.join(heads_of.withColumnRenamed("key", "h_key"), (F.col("key") == F.col("h_key")) & near)
         pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
             above = written(components(ends), "contracted").select(F.col("node").alias("under"), F.col("comp").alias("over"))
             moved = comps.unionByName(above.join(comps, F.col("under") == F.col("node"), "left_anti").select(F.col("under").alias("node"), F.col("under").alias("comp")))
             comps = written(moved.join(above, F.col("comp") == F.col("under"), "left").select("node", F.coalesce("over", "comp").alias("comp")), "components")
-        members = members.drop("comp")
+        members = members.select("key", "node")
 
     of_node = classes.select("node", "fp", "class_id").join(comps, "node", "left").select("fp", "class_id", F.coalesce("comp", "node").alias("comp"))
     least = of_node.groupBy("comp").agg(F.min("class_id").alias("component_id"))
