@@ -202,7 +202,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def signature(edges: DataFrame) -> tuple:
     """Equal for equal sets of edges."""
     h = F.xxhash64("hi", "lo")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 32))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
