@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     text_hash."""
     rows = written(sketches(docs, k, id_col, text_col), "sketches")
     # a node is a class of equal word sequences, named by a hash of its fingerprint
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")).withColumn("node", F.xxhash64("fp"))
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    classes = written(classes.withColumn("node", F.xxhash64("fp")), "classes")
     entries = index_entries(classes)
     shared = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key")
     own = classes.select("node", "sig")
