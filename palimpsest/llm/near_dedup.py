@@ -287,9 +287,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, its columns unchanged; of rows with the kept id and text, one stays."""
     name, text_hash = fresh(docs, "kept_id", "kept_hash")
-    kept = near_duplicates(docs, k, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias(name), F.col("text_hash").alias(text_hash)).distinct()
+    kept = near_duplicates(docs, k, percent, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias(name), F.col("text_hash").alias(text_hash)).agg(F.count("*").alias("n"))
+    kept = written(kept, "kept")
+    # only rows that repeat have to be gathered to keep one of each
+    once, more = kept.where("n = 1").drop("n"), written(kept.where("n > 1").drop("n"), "repeated")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(text_hash))
-    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(once, same, "left_semi").unionByName(docs.join(more, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
