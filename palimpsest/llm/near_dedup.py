@@ -11,7 +11,8 @@ Large groups: an entry (key) with g members is not expanded into its g * g / 2 p
 entry, the pairs with its smallest member and the pairs of neighbours in the order of the signatures, both linear in g;
 confirmed links are contracted into components, which takes groups of copies together. Each later round deals an
 entry's members into R hash classes; the smallest of each is a representative, and the pairs of representatives with
-members of other components are confirmed if their long signatures are near and their set sizes allow the similarity. Representatives leave the entry, and an entry whose rest lies in one component is done. The rounds end only
+members of other components are confirmed if their long signatures are near and their set sizes allow the similarity. A pair that meets in several entries is looked at in the first. Representatives
+leave the entry, and an entry whose rest lies in one component is done. The rounds end only
 when no entry is open, so no such link between different components is lost.
 
 Defined results: equal word sequences form one class before any comparison. A null, empty or white text has no
@@ -35,7 +36,7 @@ from palimpsest.session import fresh, table, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80
-CHUNKS, WIDTH, ERRORS, BITS = 8, 5, 1, 16
+CHUNKS, WIDTH, ERRORS, BITS = 8, 5, 1, 11
 #: Symbols of 3 bits of the long signature, 15 to a 64-bit word.
 LANES, LONG_WORDS = 15, 34
 #: Standard deviations beyond the mean distance at the similarity sought that the long signatures may differ by.
@@ -134,13 +135,32 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
 
 def index_entries(classes: DataFrame) -> DataFrame:
-    """(key, node): for each chunk, each choice of ERRORS symbols left out."""
+    """(key, slot, node): for each chunk, each choice of a symbol left out; the slot says which."""
     keys = []
     for c in range(CHUNKS):
-        for out in range(WIDTH) if ERRORS else [-1]:
+        for out in range(WIDTH):
             kept = [F.col("sig")[c * WIDTH + j] for j in range(WIDTH) if j != out]
             keys.append(F.xxhash64(F.lit(c * WIDTH + out), *kept))
-    return classes.where("sig is not null").select("node", F.explode(F.array(*keys)).alias("key"))
+    return classes.where("sig is not null").select("node", F.posexplode(F.array(*keys)).alias("slot", "key"))
+
+
+def chunk_words(sig: str = "sig") -> Column:
+    """A word for each chunk, 12 bits a symbol of which the highest is free."""
+    lanes = lambda c: [F.shiftleft(F.get(sig, F.lit(c * WIDTH + j)).cast("long"), 12 * j) for j in range(WIDTH)]
+    return F.array(*[reduce(lambda x, y: x.bitwiseOR(y), lanes(c)) for c in range(CHUNKS)])
+
+
+def first_slot(a: str, b: str) -> Column:
+    """The first slot in which two signatures agree. A pair is looked at in this entry only, of all those it meets in."""
+    low = sum(0x7FF << (12 * j) for j in range(WIDTH))
+    high = sum(0x800 << (12 * j) for j in range(WIDTH))
+    found = F.lit(None).cast("int")
+    for c in reversed(range(CHUNKS)):
+        wrong = (F.get(a, F.lit(c)).bitwiseXOR(F.get(b, F.lit(c))) + F.lit(low)).bitwiseAND(F.lit(high))
+        # the mark of symbol j is bit 12 * j + 11
+        place = F.when(wrong == 0, F.lit(0)).otherwise(((F.bit_count(wrong - 1) - 11) / 12).cast("int"))
+        found = F.when(F.bit_count(wrong) <= ERRORS, place + c * WIDTH).otherwise(found)
+    return found
 
 
 def distance(a: str, b: str) -> Column:
@@ -233,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     entries = index_entries(classes)
     shared = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key")
     own = classes.select("node", "sig")
-    open_ = written(entries.join(shared, "key").select("key", "node").join(own, "node").select("key", "node", "sig"), "entries")
+    open_ = written(entries.join(shared, "key").select("key", "slot", "node").join(own, "node").select("key", "slot", "node", "sig"), "entries")
     wanted = classes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "class_id")
     texts = written(texts_of(docs, wanted, id_col, text_col), "texts")
 
@@ -241,22 +261,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     stars = open_.select("key", "node").join(least, "key").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     tested = written(stars.unionByName(neighbours(open_)).distinct(), "pairs")
     comps = written(components(confirm(tested, texts, k, percent)), "components")
-    members = open_.select("key", "node")
-    bits = classes.select("node", "bits", "n_shingles")
+    members = open_.select("key", "slot", "node")
+    bits = classes.select("node", "bits", "n_shingles", chunk_words().alias("chunks"))
     heads_of, spread = least, 1
     while True:
         rest = members.join(heads_of.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
         # an entry stays open while a member that was no representative may link to one of another component
-        placed = rest.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        placed = rest.join(comps, "node", "left").select("key", "slot", "node", F.coalesce("comp", "node").alias("comp"))
         spans = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         members = written(placed.join(spans, "key").join(bits, "node"), "open")
         if members.isEmpty():
             break
         spread = min(64 * spread, 1 << 30)
         deal = F.pmod(F.xxhash64("node", F.lit(spread)), F.lit(spread))
-        first = F.min_by(F.struct(F.col("node").alias("head"), F.col("comp").alias("head_comp"), F.col("bits").alias("head_bits"), F.col("n_shingles").alias("head_n")), "node")
+        first = F.min_by(F.struct(F.col("node").alias("head"), F.col("comp").alias("head_comp"), F.col("bits").alias("head_bits"), F.col("chunks").alias("head_chunks"), F.col("n_shingles").alias("head_n")), "node")
         heads_of = written(members.withColumn("deal", deal).groupBy("key", "deal").agg(first.alias("h")).select("key", "h.*"), "heads")
-        near = (F.col("comp") != F.col("head_comp")) & (100 * F.least("n_shingles", "head_n") >= percent * F.greatest("n_shingles", "head_n")) & (distance("bits", "head_bits") <= farthest(percent))
+        near = (F.col("comp") != F.col("head_comp")) & (F.col("slot") == first_slot("chunks", "head_chunks")) & (100 * F.least("n_shingles", "head_n") >= percent * F.greatest("n_shingles", "head_n")) & (distance("bits", "head_bits") <= farthest(percent))
         pairs = members.join(heads_of.withColumnRenamed("key", "h_key"), (F.col("key") == F.col("h_key")) & near)
         pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -269,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
             above = written(components(ends), "contracted").select(F.col("node").alias("under"), F.col("comp").alias("over"))
             moved = comps.unionByName(above.join(comps, F.col("under") == F.col("node"), "left_anti").select(F.col("under").alias("node"), F.col("under").alias("comp")))
             comps = written(moved.join(above, F.col("comp") == F.col("under"), "left").select("node", F.coalesce("over", "comp").alias("comp")), "components")
-        members = members.select("key", "node")
+        members = members.select("key", "slot", "node")
 
     of_node = classes.select("node", "fp", "class_id").join(comps, "node", "left").select("fp", "class_id", F.coalesce("comp", "node").alias("comp"))
     least = of_node.groupBy("comp").agg(F.min("class_id").alias("component_id"))

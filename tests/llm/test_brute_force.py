@@ -208,3 +208,26 @@ def test_mixing_budgets(spark):
 def test_held_out(spark):
     got = spark.range(50).select("id", held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
+
+
+def test_near_dedup_in_one_large_group(spark):
+    """Copies of one text changed more and less, so that many share entries and do not link."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(100)] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(copy))
+    sets = [near_dedup.shingles_of(near_dedup.words_of(t), 3) for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if comp[i] != comp[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((comp[i], comp[j]))
+                comp = [a if c == b else c for c in comp]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85).collect()} == dict(enumerate(comp))
+    assert 5 < len(set(comp)) < 350
