@@ -6,14 +6,16 @@ coefficient a code of fixed length (code and magnitude bits together), so that w
 bit matrices. Any baseline decoder reads the files; ``decode_frames`` reads them back by way of the RIFF index.
 
 ``decode_frame`` is a general decoder of baseline frames (any Huffman tables, sampling factors, restart intervals) down
-to the coefficients and, by the inverse transform, to samples; tables of fixed length take the matrix way.
+to the coefficients and, by the inverse transform, to samples; tables of fixed length take the matrix way. Both ways
+give the same samples. ``read_avi`` reads files of either kind; frames that store no payload have null payload columns.
 
-Shots: a frame's difference from the one before is the L1 distance of their sample histograms; a cut is where it
-exceeds the mean plus CUT_SIGMAS standard deviations of the last WINDOW differences that were no cuts, and CUT_LEAST at
-least. Runs between cuts are clips with times from the frame rate.
+Shots: a frame's difference from the one before is the L1 distance of the histograms of their decoded samples (of all
+components); a cut is where it exceeds the mean plus CUT_SIGMAS standard deviations of the last WINDOW differences that
+were no cuts, and CUT_LEAST at least. Runs between cuts are clips with times from the frame rate.
 
 Defined results: null and empty texts are one group of blanks; ties and repeated rows give equal values; media that are
-null or no AVI give null features; an empty table gives an empty result. Other columns are not read.
+null, no AVI, or hold a frame that is no whole baseline JPEG give null features; an empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -227,15 +230,146 @@ def scan_of(frame: bytes) -> bytes:
 
 
 ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+#: Bits after the point in INVERSE.
+POINT = 16
+
+
+def _inverse() -> np.ndarray:
+    """(64, 64) inverse transform from zigzag order to pixels, of whole numbers: products are exact in any order."""
+    basis = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    return np.round(np.einsum("ux,vy->uvxy", basis, basis).reshape(64, 64)[ZIGZAG] * (1 << POINT))
+
+
+INVERSE = _inverse()
+
+
+def samples_of(coefficients: np.ndarray) -> np.ndarray:
+    """(blocks, 64) dequantised coefficients in zigzag order to (blocks, 64) samples."""
+    return np.clip(np.floor((coefficients.astype(np.float64) @ INVERSE) / (1 << POINT) + 0.5) + 128, 0, 255).astype(np.uint8)
+
+
+def samples_of_bytes(frames: np.ndarray) -> np.ndarray:
+    """(frames, MCUS * 192) stored bytes to as many samples of this module's frames, block by block."""
+    out = np.empty_like(frames)
+    for i in range(0, len(frames), FRAMES):
+        x = frames[i : i + FRAMES].astype(np.int16)
+        out[i : i + FRAMES] = samples_of((x - np.where(x >= 128, 127, 128)).reshape(-1, 64)).reshape(x.shape)
+    return out
+
+
+@lru_cache(64)
+def lookup(lengths: bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """(bits of the code, symbol) by the next 16 bits; 0 bits where no code begins so."""
+    if len(symbols) < sum(lengths):
+        raise ValueError("a table is cut off")
+    out, place, symbol = [(0, 0)] * (1 << 16), 0, iter(symbols)
+    for n in range(1, 17):
+        for _ in range(lengths[n - 1]):
+            width = 1 << (16 - n)
+            out[place : place + width] = [(n, next(symbol))] * width
+            place += width
+    if len(out) != 1 << 16:
+        raise ValueError("no such code")
+    return out
+
+
+def _usual() -> dict[int, tuple[bytes, bytes]]:
+    """The tables of the standard's annex K, which motion-JPEG frames may leave out."""
+    dc = bytes(range(12))
+    luma = bytes.fromhex(
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a"
+        "636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4"
+        "e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+    )
+    chroma = bytes.fromhex(
+        "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a53545556575859"
+        "5a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3"
+        "e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+    )
+    return {
+        0x00: (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), dc),
+        0x01: (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), dc),
+        0x10: (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), luma),
+        0x11: (bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]), chroma),
+    }
+
+
+USUAL = _usual()
+
+
+def _scan(data: list[bytes], comps: list[dict], across: int, down: int, restart: int) -> None:
+    """Decodes a scan's parts (between restart markers) into its components' grids of coefficients."""
+    if len(comps) == 1:  # a scan of one component has its own blocks only, a block an MCU
+        across, down = comps[0]["across"], comps[0]["down"]
+        places = [[(comps[0], 0, 0)]]
+        step = [(1, 1)]
+    else:
+        places = [[(c, y, x) for y in range(c["v"]) for x in range(c["h"])] for c in comps]
+        step = [(c["v"], c["h"]) for c in comps]
+    part, p, end, peek, last = -1, 0, 0, [], []
+    for mcu in range(across * down):
+        if part < 0 or restart and mcu % restart == 0:
+            part += 1
+            if part >= len(data):
+                raise ValueError("a frame is cut off")
+            raw = np.frombuffer(data[part].replace(b"\xff\x00", b"\xff") + b"\xff" * 16, np.uint8).astype(np.int64)
+            word = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+            peek = ((word[:, None] >> np.arange(8, 0, -1)) & 0xFFFF).ravel().tolist()
+            p, end, last = 0, 8 * (len(raw) - 16), [0] * len(comps)
+        row, col = divmod(mcu, across)
+        for j, blocks in enumerate(places):
+            for c, y, x in blocks:
+                dc, ac, block = c["dc"], c["ac"], c["grid"][row * step[j][0] + y][col * step[j][1] + x]
+                n, size = dc[peek[p]]
+                p += n
+                if not n or size > 15:
+                    raise ValueError("no such code")
+                if size:
+                    v = peek[p] >> (16 - size)
+                    p += size
+                    last[j] += v if v >> (size - 1) else v - (1 << size) + 1
+                block[0], k = last[j], 1
+                while k < 64:
+                    n, rs = ac[peek[p]]
+                    p += n
+                    if not n:
+                        raise ValueError("no such code")
+                    run, size = rs >> 4, rs & 15
+                    if not size and run != 15:
+                        break
+                    k += run
+                    if size:
+                        if k > 63:
+                            raise ValueError("a block is too long")
+                        v = peek[p] >> (16 - size)
+                        p += size
+                        block[k] = v if v >> (size - 1) else v - (1 << size) + 1
+                    k += 1
+                if p > end:
+                    raise ValueError("a frame is cut off")
 
 
 def decode_frame(frame: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A baseline JPEG to each component's (blocks, 64) coefficients (zigzag order, scan order) and its sample plane."""
-    quant, huff, comps, restart, at = {}, {}, [], 0, 2
+    """A baseline JPEG to each component's (blocks, 64) coefficients (zigzag order, row by row) and its sample plane.
+
+    Any quantisation and Huffman tables, sampling factors, scans and restart intervals. Of two fields in a frame the
+    first is read. What is no such frame, or is cut off, raises ValueError or LookupError.
+    """
     if frame[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
+    quant, huff, comps, restart, at, seen = {}, {k: lookup(*v) for k, v in USUAL.items()}, [], 0, 2, set()
+    across = down = width = height = 0
     while True:
-        marker, n = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        at = frame.find(b"\xff", at)
+        if at < 0 or at + 4 > len(frame):
+            break
+        marker = frame[at + 1]
+        if marker in (0x00, 0x01, 0xFF) or 0xD0 <= marker <= 0xD7:
+            at += 1 if marker == 0xFF else 2
+            continue
+        if marker in (0xD8, 0xD9):
+            break
+        n = struct.unpack_from(">H", frame, at + 2)[0]
         body = frame[at + 4 : at + 2 + n]
         at += 2 + n
         if marker == 0xDB:
@@ -247,87 +381,82 @@ def decode_frame(frame: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
         elif marker in (0xC0, 0xC1):
             height, width = struct.unpack_from(">HH", body, 1)
             comps = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "q": body[8 + 3 * i]} for i in range(body[5])]
+            if body[0] != 8 or not height or not width or not comps or not all(c["h"] and c["v"] for c in comps):
+                raise ValueError("not a baseline frame of 8 bits")
+            hmax, vmax = max(c["h"] for c in comps), max(c["v"] for c in comps)
+            across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+            for c in comps:
+                c["width"], c["height"] = -(-width * c["h"] // hmax), -(-height * c["v"] // vmax)
+                c["across"], c["down"] = -(-c["width"] // 8), -(-c["height"] // 8)
+                c["grid"] = [[[0] * 64 for _ in range(across * c["h"])] for _ in range(down * c["v"])]
         elif marker == 0xC4:
             while body:
-                lengths, codes, code, place = body[1:17], {}, 0, 17
-                for bits in range(1, 17):
-                    for _ in range(lengths[bits - 1]):
-                        codes[bits, code] = body[place]
-                        code, place = code + 1, place + 1
-                    code <<= 1
-                huff[body[0]] = codes
-                body = body[place:]
+                total = sum(body[1:17])
+                huff[body[0]] = lookup(body[1:17], body[17 : 17 + total])
+                body = body[17 + total :]
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
+            some = []
             for i in range(body[0]):
-                one = next(c for c in comps if c["id"] == body[1 + 2 * i])
-                one |= {"dc": huff[body[2 + 2 * i] >> 4], "ac": huff[16 | body[2 + 2 * i] & 15]}
-            break
+                c = next((c for c in comps if c["id"] == body[1 + 2 * i]), None)
+                if c is None:
+                    raise ValueError("a scan of no component")
+                c |= {"dc": huff[body[2 + 2 * i] >> 4], "ac": huff[16 | body[2 + 2 * i] & 15]}
+                some.append(c)
+            parts, begin = [], at
+            while (at := frame.find(b"\xff", at)) != -1 and at + 1 < len(frame):
+                if 0xD0 <= frame[at + 1] <= 0xD7:
+                    parts.append(frame[begin:at])
+                    begin = at + 2
+                elif frame[at + 1] not in (0x00, 0xFF):
+                    break
+                at += 1 if frame[at + 1] == 0xFF else 2
+            at = len(frame) if at < 0 or at + 1 >= len(frame) else at
+            _scan([*parts, frame[begin:at]], some, across, down, restart)
+            seen |= {c["id"] for c in some}
         elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("not a baseline frame")
-    end = frame.rfind(b"\xff\xd9")
-    parts, begin, i = [], at, at
-    while (i := frame.find(b"\xff", i)) != -1 and i < end:
-        if 0xD0 <= frame[i + 1] <= 0xD7:
-            parts.append(frame[begin:i])
-            begin = i + 2
-        i += 2
-    parts.append(frame[begin : end if end > 0 else len(frame)])
-    bits_of = [np.unpackbits(np.frombuffer(p.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist() for p in parts]
-    hmax, vmax = max(c["h"] for c in comps), max(c["v"] for c in comps)
-    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
-    for c in comps:
-        c["blocks"] = np.zeros((across * down * c["h"] * c["v"], 64), np.int64)
-        c["n"] = 0
-    part, bits, p = 0, bits_of[0], 0
-
-    def symbol(codes: dict) -> int:
-        nonlocal p
-        code, n = 0, 0
-        while n < 16:
-            code, n, p = code << 1 | bits[p], n + 1, p + 1
-            if (n, code) in codes:
-                return codes[n, code]
-        raise ValueError("no such code")
-
-    def extra(n: int) -> int:
-        nonlocal p
-        v = 0
-        for _ in range(n):
-            v, p = v << 1 | bits[p], p + 1
-        return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-    last = [0] * len(comps)
-    for mcu in range(across * down):
-        if restart and mcu and mcu % restart == 0:
-            part += 1
-            bits, p, last = bits_of[part], 0, [0] * len(comps)
-        for j, c in enumerate(comps):
-            for _ in range(c["h"] * c["v"]):
-                block = c["blocks"][c["n"]]
-                c["n"] += 1
-                last[j] += extra(symbol(c["dc"]))
-                block[0] = last[j]
-                k = 1
-                while k < 64:
-                    rs = symbol(c["ac"])
-                    run, size = rs >> 4, rs & 15
-                    if not size and run != 15:
-                        break
-                    k += run
-                    if size:
-                        block[k] = extra(size)
-                    k += 1
-    basis = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
-    planes = []
+    if not comps or len(seen) < len({c["id"] for c in comps}):
+        raise ValueError("a frame is cut off")
+    blocks, planes = [], []
     for c in comps:
-        natural = np.zeros((len(c["blocks"]), 64))
-        natural[:, ZIGZAG] = c["blocks"] * quant[c["q"]]
-        pixels = np.clip(np.round(np.einsum("ux,nuv,vy->nxy", basis, natural.reshape(-1, 8, 8), basis) + 128), 0, 255).astype(np.uint8)
-        grid = pixels.reshape(down, across, c["v"], c["h"], 8, 8).transpose(0, 2, 4, 1, 3, 5)
-        planes.append(grid.reshape(down * c["v"] * 8, across * c["h"] * 8)[: -(-height * c["v"] // vmax), : -(-width * c["h"] // hmax)])
-    return [c["blocks"] for c in comps], planes
+        grid = np.array(c["grid"], np.int64)
+        blocks.append(grid.reshape(-1, 64))
+        pixels = samples_of(blocks[-1] * quant[c["q"]]).reshape(*grid.shape[:2], 8, 8)
+        planes.append(pixels.transpose(0, 2, 1, 3).reshape(8 * grid.shape[0], -1)[: c["height"], : c["width"]])
+    return blocks, planes
+
+
+def bytes_of(blocks: list[np.ndarray]) -> bytes | None:
+    """The bytes that a frame with other tables stores in this module's way, if it does."""
+    if [len(x) for x in blocks] != [MCUS] * 3:
+        return None
+    value = np.stack(blocks, 1)
+    if (value == 0).any() or value.min() < -128 or value.max() > 128:
+        return None
+    return (value + np.where(value > 0, 127, 128)).astype(np.uint8).tobytes()
+
+
+def read_frame(frame: bytes) -> bytes | tuple[bytes | None, np.ndarray]:
+    """The entropy-coded bytes of a frame with this module's tables; of any other what it stores, and its histogram."""
+    try:
+        return scan_of(frame)
+    except ValueError:
+        blocks, planes = decode_frame(frame)
+        return bytes_of(blocks), histograms(np.concatenate([x.ravel() for x in planes])[None])[0]
+
+
+def read_frames(avi: Avi) -> list[bytes | tuple[bytes | None, np.ndarray]]:
+    """``read_frame`` of each; an empty chunk shows the frame before it once more."""
+    out: list = []
+    for k in range(len(avi.frames)):
+        raw = avi.frame(k)
+        if raw or not out:
+            out.append(read_frame(raw))
+        else:
+            out.append(out[-1])
+    return out
 
 
 def histograms(frames: np.ndarray) -> np.ndarray:
@@ -390,24 +519,30 @@ def read_avi(media: DataFrame) -> DataFrame:
                 for raw in files:
                     try:
                         avi = Avi(raw or b"")
-                        own = [scan_of(avi.frame(k)) for k in range(len(avi.frames))]
-                        avi.payload_bytes = len(own) * FRAME_BYTES if avi.payload_bytes is None else avi.payload_bytes
-                    except (ValueError, struct.error):
-                        avi, own = None, []
-                    avis.append((avi, len(scans), len(own)))
-                    scans += own
+                        read = read_frames(avi)
+                    except (ValueError, LookupError, struct.error):
+                        avi, read = None, []
+                    # an own frame is its place among the scans of all files
+                    at = len(scans)
+                    scans += [f for f in read if isinstance(f, bytes)]
+                    own = iter(range(at, len(scans)))
+                    avis.append((avi, [next(own) if isinstance(f, bytes) else f for f in read]))
                 frames = read_scans(scans)
-                hist = histograms(frames) if len(frames) else np.zeros((0, BINS))
+                hists = histograms(samples_of_bytes(frames)) if len(frames) else np.zeros((0, BINS))
                 rows = []
-                for raw, (avi, at, n) in zip(files, avis, strict=True):
+                for raw, (avi, read) in zip(files, avis, strict=True):
                     if avi is None:
                         rows.append((None,) * 6 + (None,))
                         continue
-                    payload = frames[at : at + n].tobytes()[: avi.payload_bytes]
-                    shots = clips_of(hist[at : at + n], avi.fps) if n else []
-                    mean = hist[at : at + n].mean(0) if n else np.zeros(BINS)
+                    n = len(read)
+                    hist = np.array([hists[f] if isinstance(f, int) else f[1] for f in read]).reshape(-1, BINS)
+                    stored = [frames[f].tobytes() if isinstance(f, int) else f[0] for f in read]
+                    payload = None if None in stored else b"".join(stored)[: avi.payload_bytes]
+                    shots = clips_of(hist, avi.fps) if n else []
+                    mean = hist.mean(0) if n else np.zeros(BINS)
                     feature = f"frames={n};shots={len(shots)};cuts={','.join(str(s[0]) for s in shots[1:])};hist={','.join(str(round(x * 1000)) for x in mean.tolist())}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, [dict(zip(("first_frame", "end_frame", "start_s", "end_s"), s, strict=True)) for s in shots]))
+                    held = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+                    rows.append((*held, len(raw), hashlib.sha256(raw).hexdigest(), feature, [dict(zip(("first_frame", "end_frame", "start_s", "end_s"), s, strict=True)) for s in shots]))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(clip)]
                 yield pa.record_batch([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
 
