@@ -1,19 +1,21 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, trained from document labels.
 
-A document is a bag of sentences. Sentence s has probability p_s = sigmoid(b + sum of its words' weights); the document
-is toxic with 1 - product of (1 - p_s): a single bad sentence is enough, and no sentence is ever labelled. Weights are
-fitted by gradient descent on the documents' labels, of which a share NOISE is taken to be wrong either way. After
-training the sentence scores say where the document offends.
+A document is a bag of sentences, a sentence a bag of words. A word has probability p_w = sigmoid(b + sum of its
+features' weights), with b the log odds of FLOOR; a sentence is toxic with 1 - product of q_w, a document with
+1 - product of its sentences' (1 - p_s), where q_w = (1 - p_w) / (1 - FLOOR), 1 at most, leaves the floor out and a word
+counts in one sentence of the document: noisy-or over noisy-or. So a single bad sentence is enough, and no sentence is
+ever labelled; neither length nor the repetition of a word makes anything toxic. Weights are fitted by gradient descent
+on the documents' labels, on these same bags, of which a share NOISE is taken to be wrong either way. After training the
+sentence scores, of all words of the sentence, say where the document offends.
 
 Words are runs of letters of the lower-cased text; a word has itself and its openings of 4 to 8 letters as features, so
 that inflected forms share evidence. Features that the training labels favour by a likelihood ratio of at least EVIDENCE
-get a weight; near copies count once there. A sentence's words are instances of their own within the noisy-or.
-Sentences without any such feature have the floor probability FLOOR, and a document's score leaves these floors out, so
-that length alone makes nothing toxic. While fitting, a random part of the features is left out of each step: otherwise
-the words that explain most documents take all the weight, and rarer ones would not suffice by themselves.
+get a weight; near copies count once there. Words without any such feature count nothing. While fitting, a random part
+of the features is left out of each step: otherwise the words that explain most documents take all the weight, and rarer
+ones would not suffice by themselves.
 
-Training takes a bounded sample of labelled rows: SAMPLE_ROWS of each label, by the smallest hash of the id, none longer
-than SAMPLE_TEXT characters. All texts are scored whole.
+Training takes a bounded sample of labelled rows: SAMPLE_ROWS of each label, by the smallest hash of the id. Texts of any
+length are trained on and scored whole; of the sample's, only distinct words and sentence digests go to the driver.
 
 Defined results: null and empty texts score 0; without labelled rows all score 0; repeated label rows of an id count
 once, as toxic if one says so; repeated documents score alike. Other columns are not read.
@@ -21,21 +23,23 @@ once, as toxic if one says so; repeated documents score alike. Other columns are
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.sampling import bounded_sample, held_out, sampled_texts
+from palimpsest.llm.sampling import bounded_sample, held_out
 from palimpsest.session import table
 
 SAMPLE_ROWS = 3000
-SAMPLE_TEXT = 20_000
 NOISE = 0.03
 EVIDENCE = 18.0
 FLOOR = 1e-2
@@ -57,14 +61,33 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(OPENINGS[0], min(OPENINGS[1], len(word) - 1) + 1))]
 
 
-def unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+class Bag(NamedTuple):
+    """What training needs of a text: a digest, its distinct words with blanks between, and 8-byte digests of its
+    sentences of over 20 characters."""
+
+    key: str
+    words: str
+    sentences: bytes
+
+
+def digest(s: str) -> bytes:
+    return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def bag_of(text: str) -> Bag:
+    low = text.lower()
+    long = {s for s in SENTENCE.findall(low) if len(s) > 20}
+    return Bag(digest(low).hex(), " ".join(sorted(set(WORD.findall(low)))), b"".join(sorted(map(digest, long))))
+
+
+def unlike(rows: list[tuple[Bag, int]]) -> list[tuple[Bag, int]]:
     """``rows`` without those that share half of their sentences with earlier ones."""
-    seen: set[str] = set()
+    seen: set[int] = set()
     out = []
-    for text, y in rows:
-        own = {s for s in SENTENCE.findall(text.lower()) if len(s) > 20}
+    for bag, y in rows:
+        own = set(np.frombuffer(bag.sentences, "<i8").tolist())
         if not own or 2 * len(own & seen) < len(own):
-            out.append((text, y))
+            out.append((bag, y))
         seen |= own
     return out
 
@@ -75,9 +98,9 @@ class SentenceModel:
         self.words: dict[str, float] = {}
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.15, ridge: float = RIDGE, dropped: float = 0.3) -> SentenceModel:
-        rows = unlike(sorted(set(rows)))
-        bags = [(set(WORD.findall(t.lower())), y) for t, y in rows]
+    def fit(cls, rows: list[tuple[Bag, int]], steps: int = 300, rate: float = 0.15, ridge: float = RIDGE, dropped: float = 0.3) -> SentenceModel:
+        once = {(bag.key, y): bag for bag, y in rows}
+        bags = [([sys.intern(w) for w in bag.words.split()], y) for bag, y in unlike([(once[k], k[1]) for k in sorted(once)])]
         n1 = sum(y for _, y in bags)
         n0 = len(bags) - n1
         bias = math.log(FLOOR / (1 - FLOOR))
@@ -102,11 +125,11 @@ class SentenceModel:
                 if ratio >= EVIDENCE:
                     rates[f] = min(a / n, 1 - 0.5 / n)
         place = {f: i for i, f in enumerate(sorted(rates))}
-        # the sparse design: instances are the sentences' words with a feature of the vocabulary
+        # the sparse design: instances are the distinct words with a feature of the vocabulary, as they are scored
         doc, inst, col = [], [], []
         n = 0
         for d, (words, _) in enumerate(bags):
-            for w in sorted(words):
+            for w in words:
                 found = [place[f] for f in features_of(w) if f in place]
                 if found:
                     doc.append(d)
@@ -121,8 +144,9 @@ class SentenceModel:
         for t in range(1, steps + 1):
             on = rng.random(len(w)) >= dropped
             z = bias + np.bincount(inst, (w * on)[col], minlength=n)
-            p = 1 / (1 + np.exp(-z))
-            clean = np.exp(np.bincount(doc, -np.logaddexp(0, z), minlength=len(y)))
+            above = z > bias
+            p = above / (1 + np.exp(-z))
+            clean = np.exp(np.bincount(doc, above * (math.log1p(math.exp(bias)) - np.logaddexp(0, z)), minlength=len(y)))
             toxic = NOISE + (1 - 2 * NOISE) * (1 - clean)
             slope = np.where(y == 1, -1 / toxic, 1 / (1 - toxic)) * (1 - 2 * NOISE) * clean
             g = np.bincount(col, (slope[doc] * p)[inst], minlength=len(w)) * on + ridge * w
@@ -149,16 +173,27 @@ class SentenceModel:
             return 0.0, []
         if len(low) != len(text):  # a letter that lower-cases to two; keep the offsets of the text
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        clean, found = 1.0, []
+        floor = 1 + math.exp(self.bias)
+        left = {w: min(1.0, floor / (1 + math.exp(self.bias + v))) for w, v in sorted(known.items())}
+        found = []
         for a, b in sentences_of(low):
             own = known.keys() & set(WORD.findall(low[a:b]))
             if own:
-                rest = 1.0
-                for w in sorted(own):
-                    rest *= 1 - 1 / (1 + math.exp(-(self.bias + known[w])))
-                clean *= rest
-                found.append((a, b, 1 - rest))
-        return 1 - clean, found
+                found.append((a, b, 1 - math.prod(left[w] for w in sorted(own))))
+        return 1 - math.prod(left.values()), found
+
+
+def sampled_bags(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> list[tuple[Bag, int]]:
+    """(bag, label) of the sample's rows with a text; texts of any length, made into bags where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, words, sentences = zip(*(bag_of(t) for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
+            yield pa.record_batch([b.column(0), pa.array(keys, pa.string()), pa.array(words, pa.string()), pa.array(sentences, pa.binary())], names=["stratum", "key", "words", "sentences"])
+
+    some = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    found = some.join(sample, F.col("id_") == F.col("id")).select("stratum", "text").mapInArrow(run, "stratum int, key string, words string, sentences binary")
+    return [(Bag(r[1], r[2], bytes(r[3])), r[0]) for r in found.collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SentenceModel:
@@ -167,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None, id_col
         labels = labels.where(rows)
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("stratum"))
     sample = bounded_sample(known, "stratum", SAMPLE_ROWS, SEED)
-    return SentenceModel.fit([(text, y) for _, y, text in sampled_texts(docs, sample, "stratum", id_col, text_col, SAMPLE_TEXT)])
+    return SentenceModel.fit(sampled_bags(docs, sample, id_col, text_col))
 
 
 def score_toxicity(docs: DataFrame, model: SentenceModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
