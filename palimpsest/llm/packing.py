@@ -8,7 +8,8 @@ window k takes the tokens of ranks [k * size, (k + 1) * size). A drained queue l
 
 Steps: (1) tokenise, one pass, written with each row's running offset inside its (file partition, queue);
 (2) sum by (partition, queue) and turn the sums into offsets; (3) cut every document at the window boundaries.
-The texts and ids are never shuffled.
+The texts are never shuffled, and the ids only with more than MAX_QUEUES sources: then a document is cut at the
+boundaries of blocks of windows, and a block's tokens meet in one task, which orders them by their virtual times.
 
 Defined results: a null or empty text is a document of the closing id only; a null source is a queue of its own;
 repeated rows are packed once each; an empty table gives no piece. Columns other than id, text and source are not read.
@@ -20,6 +21,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from palimpsest.session import table, written
 
 WINDOW_TOKENS = 4096
 END_ID = 2
-#: More distinct sources than this share queues by hash, which bounds what every task is sent.
+#: With more distinct sources than this, pieces are cut a block of windows at a time. The result is the same.
 MAX_QUEUES = 1024
+#: Windows of a block.
+BLOCK = 128
 #: Cached words of a worker; the cache starts anew beyond it.
 CACHE_WORDS = 400_000
 
@@ -151,11 +155,34 @@ class Schedule:
         self.totals = np.array(totals, np.int64)
         w = np.array(totals if weights is None else weights, np.float64)
         self.w = np.where(self.totals > 0, np.maximum(w, 1e-12), 1.0)
-        ends = np.unique(np.concatenate([[0.0], self.totals / self.w]))
-        self.at = np.array([np.minimum(self.totals, e * self.w).sum() for e in ends])
-        self.ends = ends
         self.total = int(self.totals.sum())
 
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.unique(np.concatenate([[0.0], self.totals / self.w]))
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        return np.array([np.minimum(self.totals, e * self.w).sum() for e in self.ends])
+
+    def upto(self, t: float) -> np.ndarray:
+        """How many tokens of each queue have a virtual time of ``t`` or less."""
+        c = np.clip(np.floor(t * self.w + 0.5), 0, self.totals).astype(np.int64)
+        c += (c < self.totals) & ((c + 0.5) / self.w <= t)
+        return c - ((c > 0) & ((c - 0.5) / self.w > t))
+
+    def key(self, x: int) -> tuple[float, int]:
+        """(virtual time, queue) of the token of rank ``x`` < total."""
+        bits = lambda t: int(np.float64(t).view(np.int64))
+        time = lambda b: float(np.int64(b).view(np.float64))
+        # positive numbers have the order of their bits
+        lo, hi = 0, bits((self.totals / self.w).max())
+        while hi - lo > 1:
+            m = (lo + hi) // 2
+            lo, hi = (m, hi) if self.upto(time(m)).sum() <= x else (lo, m)
+        before, until = self.upto(time(lo)), self.upto(time(hi))
+        return time(hi), int(np.flatnonzero(until > before)[x - int(before.sum())])
+
     def served(self, x: np.ndarray) -> np.ndarray:
         """(len(x), queues) counts; row i sums to min(x[i], total). A function of each x alone, so all tasks agree."""
         x = np.clip(np.asarray(x, np.int64), 0, self.total)
@@ -208,16 +235,77 @@ def cut(starts: np.ndarray, counts: np.ndarray, q: int, plan: Schedule, size: in
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def cut_by_blocks(placed: DataFrame, names: list[str | None], plan: Schedule, window: int, wide: np.dtype, with_ids: bool, block: int) -> DataFrame:
+    """Pieces of ``placed`` (doc_id, queue, start, doc_tokens, ids) for any number of queues."""
+    context, size = placed.sparkSession.sparkContext, window * block
+    shared = context.broadcast((plan, {x: i for i, x in enumerate(names)}))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shared.value[0].key(i * size) for i in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([t for t, _ in found], pa.float64()), pa.array([s for _, s in found], pa.int64())], names=["t", "s"])
+
+    firsts = placed.sparkSession.range(1, max(1, -(-plan.total // size))).mapInArrow(find, "t double, s long").collect()
+    # complex numbers have the order of (time, queue)
+    edges = context.broadcast(np.sort(np.array([complex(r.t, r.s) for r in firsts], np.complex128)))
+
+    def runs(*of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First places and lengths of the runs in which none of the arrays changes."""
+        first = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in of], axis=0)])
+        return first, np.diff(np.r_[first, len(of[0])])
+
+    def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and place in the row of each token."""
+        return np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, place = shared.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                b = whole.slice(i, 64)
+                q = np.array([place[x] for x in b.column(1).to_pylist()])
+                starts, counts = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+                doc, at = spread(counts)
+                blocks = np.searchsorted(edges.value, (starts[doc] + at + 0.5) / plan.w[q[doc]] + 1j * q[doc], "right")
+                first, n = runs(doc, blocks)
+                d, a, k = doc[first], at[first], wide.itemsize
+                raws = b.column(4).to_pylist()
+                ids = [raws[x][k * y : k * (y + z)] for x, y, z in zip(d.tolist(), a.tolist(), n.tolist(), strict=True)]
+                taken = pa.array(d)
+                yield pa.record_batch(
+                    [pa.array(blocks[first].astype(np.int64)), pa.array(q[d].astype(np.int64)), pa.array(starts[d] + a), pa.array(a), b.column(0).take(taken), b.column(3).take(taken), b.column(1).take(taken), pa.array(ids, pa.binary())],
+                    names=["block", "s", "token", "start", "doc_id", "doc_tokens", "queue", "ids"],
+                )
+
+    def place_block(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("s", "ascending"), ("token", "ascending")]).combine_chunks()
+        s, token, start = (t.column(x).to_numpy() for x in ("s", "token", "start"))
+        ids = [np.frombuffer(x, wide) for x in t.column("ids").to_pylist()]
+        row, at = spread(np.array([len(x) for x in ids]))
+        win, place = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+        win[np.lexsort((s[row], (token[row] + at + 0.5) / shared.value[0].w[s[row]]))] = np.arange(len(row)) // window
+        place[np.argsort(win, kind="stable")] = np.arange(len(row))
+        first, n = runs(row, win)
+        r, a, w = row[first], at[first], win[first]
+        pieces = [ids[x][y : y + z].astype("<u4").tobytes() for x, y, z in zip(r.tolist(), a.tolist(), n.tolist(), strict=True)]
+        taken = pa.array(r)
+        of = {
+            "doc_id": t.column("doc_id").take(taken), "start": pa.array(start[r] + a), "length": pa.array(n), "ids_crc32": pa.array([zlib.crc32(p) for p in pieces], pa.int64()),
+            "doc_tokens": t.column("doc_tokens").take(taken), "sequence_id": pa.array(t.column("block")[0].as_py() * block + w), "offset": pa.array(place[first] - w * window),
+            "queue": t.column("queue").take(taken), "ids": pa.array(pieces if with_ids else [None] * len(pieces), pa.binary()),
+        }
+        return pa.table(of)
+
+    cut_up = placed.mapInArrow(slices, "block long, s long, token long, start long, doc_id long, doc_tokens long, queue string, ids binary")
+    return cut_up.groupBy("block").applyInArrow(place_block, PIECE_SCHEMA)
+
+
 def pack(docs: DataFrame, window: int = WINDOW_TOKENS, weights: dict[str, float] | None = None, path: str | None = None, end_id: int = END_ID, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pieces of all documents (PIECE_SCHEMA). Only the last window can be short; all else is full, without padding.
 
     weights: target share of each source; null takes the corpus' own shares, with which all queues drain together.
     """
-    taken = docs.withColumn(source_col, F.col(source_col).cast("string"))
-    if taken.select(source_col).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        taken = taken.withColumn(source_col, F.concat(F.lit("queue-"), F.pmod(F.xxhash64(source_col), F.lit(MAX_QUEUES)).cast("string")))
-        weights = None
-    tokens = written(tokenize(taken, path, end_id, id_col, text_col, source_col), "tokens")
+    tokens = written(tokenize(docs, path, end_id, id_col, text_col, source_col), "tokens")
     sums = tokens.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
@@ -250,7 +338,10 @@ def pack(docs: DataFrame, window: int = WINDOW_TOKENS, weights: dict[str, float]
                     )
 
     placed = tokens.join(bases.withColumnsRenamed({"part": "b_part", "queue": "b_queue"}), (F.col("part") == F.col("b_part")) & F.col("queue").eqNullSafe(F.col("b_queue")))
-    return placed.select("doc_id", "queue", (F.col("base") + F.col("local_start")).alias("start"), "doc_tokens", "ids").mapInArrow(run, PIECE_SCHEMA)
+    placed = placed.select("doc_id", "queue", (F.col("base") + F.col("local_start")).alias("start"), "doc_tokens", "ids")
+    if len(names) > MAX_QUEUES:
+        return cut_by_blocks(placed, names, plan, window, wide, with_ids, BLOCK)
+    return placed.mapInArrow(run, PIECE_SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
