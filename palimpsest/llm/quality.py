@@ -17,8 +17,10 @@ themselves; an empty table gives an empty result. Columns of docs with the names
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +43,26 @@ SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()\-]")
 BANGS = re.compile(r"!!")
 
 
+@lru_cache(1)
+def alphabet() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def letters_of(text: str) -> int:
+    return int(np.count_nonzero(alphabet()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]))
+
+
 def features(text: str | None) -> list[float]:
     """Surface features, all bounded, none of them the length of the text in itself."""
     text = text or ""
     words = text.split()
     n, chars = max(len(words), 1), max(len(text), 1)
-    letters = sum(map(str.isalpha, text)) if chars < 64 else None
     upper = sum(w.isupper() and len(w) > 1 for w in words)
     lines = [x for x in text.split("\n") if x]
     raw = text.encode("utf-8", "surrogatepass")
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     distinct = len(set(words))
-    alphabetic = letters if letters is not None else sum(len(w) for w in words if w.isalpha())
     return [
         1.0,
         len(SYMBOLS.findall(text)) / chars * 10,
@@ -62,7 +72,7 @@ def features(text: str | None) -> list[float]:
         len(BANGS.findall(text)) / n * 3,
         distinct / n ** 0.9,
         min(len(zlib.compress(raw, 1)) / max(len(raw), 1), 1.2),
-        alphabetic / chars,
+        letters_of(text) / chars,
         min(sum(map(len, words)) / n / 10, 3.0),
         1 - len(set(lines)) / max(len(lines), 1),
         min(n, 50) / 50,
