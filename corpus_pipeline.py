@@ -32,7 +32,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as there are, divided by the target weights; a document of several epochs is as many rows."""
+    """As many tokens as there are, divided by the target weights; a document of several epochs is as many rows.
+
+    Documents go on whole: the last one of a leaf's prefix may exceed the leaf's budget by all but one of its tokens.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
