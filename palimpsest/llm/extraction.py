@@ -6,10 +6,11 @@ count and link density, those of the blocks before and after it, and what its en
 headings). A decision tree, grown by Gini
 impurity on the blocks of a small labelled table of pages (``LABELLED``), says which blocks belong to the article.
 
-Scripts, styles, comments and other markup never reach a block. Character references are decoded, white space inside a
+Scripts, styles, comments, controls (``SKIPPED``) and other markup never reach a block; formulas and fallback texts
+(of objects, canvases, audio, video and noscript) do. Character references are decoded, white space inside a
 block becomes one space, blocks are joined by a blank line.
 
-Defined results: null, empty and textless html gives '' and 0; unclosed elements and comments end with the page; end tags
+Defined results: null, empty and textless html gives '' and 0; unclosed elements and comments end with the page (of ``SKIPPED`` only those with an end tag are left out); end tags
 without a start are passed over; repeated rows give the same text; an empty table gives an empty result. Columns other
 than id, url and html are not read.
 """
@@ -30,7 +31,10 @@ from palimpsest.session import table
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|$)""", re.S)
 HINTS = re.compile(r"""\b(?:class|id|role|aria-label|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD_BREAK = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-RAW = frozenset("script style textarea title noscript template svg math iframe object select option button canvas audio video xmp noembed noframes".split())
+#: Elements of raw text, which without an end tag take the rest of the page.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements whose contents are controls, graphics or not shown; without an end tag their contents are read like others.
+SKIPPED = frozenset("template svg select option button annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -127,6 +131,7 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[tuple[str, int, int, bool]] = []  # tag, boiler, main, keep
     parts: list[str] = []
     linked_parts: list[str] = []
+    endless: set[str] = set()
     link, at, boiler, main, keep, heading, lists = False, 0, 0, 0, False, "", 0
 
     def close() -> None:
@@ -168,10 +173,15 @@ def blocks_of(page: str | None) -> list[Block]:
                         boiler, main, keep = stack[-1][1:] if stack else (0, 0, False)
                         break
             continue
-        if tag in RAW:
-            if not m[0].endswith("/>"):
+        if tag in RAW or tag in SKIPPED:
+            if not m[0].endswith("/>") and tag not in endless:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = len(page)
+                else:
+                    endless.add(tag)
             if tag in ("title", "textarea"):
                 close()
         elif tag == "a":
