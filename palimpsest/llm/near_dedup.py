@@ -245,7 +245,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept, class_id (smallest id of equal words),
-    text_hash."""
+    text_hash, node (of its component; of all rows without shingles the same)."""
     rows = written(sketches(docs, k, id_col, text_col), "sketches")
     # a node is a class of equal word sequences, named by a hash of its fingerprint
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
@@ -293,22 +293,25 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
 
     of_node = classes.select("node", "fp", "class_id").join(comps, "node", "left").select("fp", "class_id", F.coalesce("comp", "node").alias("comp"))
     least = of_node.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    of_fp = of_node.join(least, "comp").select(F.col("fp").alias("class_fp"), "class_id", "component_id")
+    of_fp = of_node.join(least, "comp").select(F.col("fp").alias("class_fp"), "class_id", "component_id", "comp")
     alone = F.col("n_shingles") == 0
     joined = rows.select("doc_id", "text_hash", "fp", "n_shingles").join(of_fp, F.col("fp") == F.col("class_fp"))
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "text_hash",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "text_hash", F.col("comp").alias("node"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, its columns unchanged; of rows with the kept id and text, one stays."""
+    """``docs`` with one row of each group, its columns unchanged: of the rows with the kept id, or without ids in a
+    group of none, one of those with the smallest hash of the text."""
     name, text_hash = fresh(docs, "kept_id", "kept_hash")
-    kept = near_duplicates(docs, k, percent, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias(name), F.col("text_hash").alias(text_hash)).agg(F.count("*").alias("n"))
-    kept = written(kept, "kept")
+    kept = near_duplicates(docs, k, percent, id_col, text_col).where("kept").groupBy("node", (F.col("n_shingles") == 0).alias("alone"), F.col("doc_id").alias(name), F.col("text_hash").alias(text_hash))
+    kept = written(kept.agg(F.count("*").alias("n")), "candidates")
+    one = kept.where("not alone").groupBy("node").agg(F.min_by(F.struct(name, text_hash, "n"), text_hash).alias("one")).select("one.*")
+    kept = written(one.unionByName(kept.where("alone").select(name, text_hash, "n")), "kept")
     # only rows that repeat have to be gathered to keep one of each
     once, more = kept.where("n = 1").drop("n"), written(kept.where("n > 1").drop("n"), "repeated")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(text_hash))
@@ -317,7 +320,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int =
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: 3-word shingles, 85 %."""
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_hash", "node")
 
 
 QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
