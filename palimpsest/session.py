@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
 
-    The folder goes when the driver's JVM ends.
+    The folder goes with ``discard``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}/{label}"
@@ -56,7 +56,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._palimpsest_folder = folder.getParent()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``written`` returned and that nothing reads any more."""
+    for df in tables:
+        folder = getattr(df, "_palimpsest_folder", None)
+        if folder is not None:
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
