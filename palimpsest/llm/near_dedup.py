@@ -1,51 +1,53 @@
 """Near-duplicate detection: b-bit MinHash signatures, a multi-index Hamming join, exact confirmation, components.
 
-Short signature: CHUNKS * WIDTH symbols of BITS bits, each bits of a minimum over the document's shingles. Two of them at
+A signature is CHUNKS * WIDTH symbols of BITS bits, each bits of a minimum over the document's shingles. Two of them at
 distance <= CHUNKS * (ERRORS + 1) - 1 symbols have, by the pigeonhole principle, a chunk with at most ERRORS wrong
 symbols; every chunk is therefore indexed once for each choice of ERRORS of its symbols left out. All pairs under the
-threshold of 15 of 40 symbols meet in an index entry; two documents of similarity 0.85 differ in 6 on average. Long
-signature: 510 symbols of 3 bits, whose distance is compared in the join of entries (``farthest``). What meets is
-confirmed on the full shingle sets.
-
-Large groups: an entry (key) with g members is not expanded into its g * g / 2 pairs. The first round confirms, of each
-entry, the pairs with its smallest member and the pairs of neighbours in the order of the signatures, both linear in g;
-confirmed links are contracted into components, which takes groups of copies together. Each later round deals an
-entry's members into R hash classes; the smallest of each is a representative, and the pairs of representatives with
-members of other components are confirmed if their long signatures are near and their set sizes allow the similarity. A pair that meets in several entries is looked at in the first. Representatives
-leave the entry, and an entry whose rest lies in one component is done. The rounds end only
-when no entry is open, so no such link between different components is lost.
+threshold of 15 of 40 symbols meet in an index entry; two documents of similarity 0.85 differ in 6 on average, and meet
+in no entry with probability 5e-7 (at 0.8: 2e-5).
+
+Large groups: an entry (key) with g members is not expanded into its g * g / 2 pairs. First the pairs of each entry's
+members with its smallest one and the pairs of neighbours in the order of the signatures are confirmed, both linear in g;
+the links found are contracted into components, which takes groups of copies together. What is left to look at are pairs
+of an entry in different components. A document takes part only if enough of its shingles occur in other components: a
+link needs SIMILARITY percent of its shingles there. That bound is exact and linear in the shingles. The rest of an entry
+is dealt into blocks of bounded size, every pair of blocks is one group of rows, its pairs are compared inside the task,
+by size, by the shingles that both can share at most and then by their sets, and only links leave it. A pair that meets in
+several entries is compared in the first. No pair is left out for being unlikely.
+
+Sets are of 64-bit hashes of whole shingles: of two texts of n shingles together some two shingles are taken for one with
+probability n * n / 2**65.
 
 Defined results: equal word sequences form one class before any comparison. A null, empty or white text has no
-shingles and is alone. Rows with the same id are compared like any others and each returns its row; a null id has
-component_id of the smallest id that it reaches, or null. An empty table gives an empty result. Other columns are
-not read.
+shingles and is alone. Texts of any length are compared whole. Rows with the same id are compared like any others and
+each returns its row; a null id has component_id of the smallest id that it reaches, or null. An empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.session import fresh, table, written
+from palimpsest.session import discard, fresh, table, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80
 CHUNKS, WIDTH, ERRORS, BITS = 8, 5, 1, 11
-#: Symbols of 3 bits of the long signature, 15 to a 64-bit word.
-LANES, LONG_WORDS = 15, 34
-#: Standard deviations beyond the mean distance at the similarity sought that the long signatures may differ by.
-SIGMAS = 4.75
+#: A block of an entry's members holds so many of them, or so many bytes of their sets, on average.
+BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
+#: Columns of the matrices with which two blocks are compared.
+COLUMNS = 1 << 14
 SEED = 20_240_601
 #: Words of a worker whose hashes are kept; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
 
-SKETCH_SCHEMA = "doc_id long, text_hash long, fp binary, n_shingles long, sig array<int>, bits array<long>"
+SKETCH_SCHEMA = "doc_id long, text_hash long, fp binary, n_shingles long, sig array<int>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -63,20 +65,19 @@ def shingles_of(words: list[bytes], k: int) -> set:
 class Sketcher:
     def __init__(self, k: int, seed: int = SEED):
         rng = np.random.Generator(np.random.PCG64(seed))
-        n = LANES * LONG_WORDS
+        n = CHUNKS * WIDTH
         self.k = k
         self.mul = rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.add = rng.integers(0, 1 << 32, n, dtype=np.uint32)
         self.weights = rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shifts = np.uint64(4) * np.arange(LANES, dtype=np.uint64)
         self.kept: dict[bytes, bytes] = {}
 
-    def sketch(self, text: str | None) -> tuple[bytes, int, list[int] | None, list[int] | None]:
-        """Fingerprint of the word sequence, number of distinct shingles, short and long signature (null without words)."""
-        words = words_of(text)
-        fp = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """The set of shingles: sorted distinct 64-bit hashes; none without words."""
         if not words:
-            return fp, 0, None, None
+            return np.zeros(0, np.uint64)
+        if len(words) < self.k:
+            return np.array([int.from_bytes(hashlib.blake2b(b" ".join(words) + b" short", digest_size=8).digest(), "little")], np.uint64)
         if len(self.kept) > CACHE_WORDS:
             self.kept.clear()
         kept = self.kept
@@ -84,23 +85,31 @@ class Sketcher:
             kept[w] = hashlib.blake2b(w, digest_size=8).digest()
         h = np.frombuffer(b"".join(map(kept.__getitem__, words)), np.uint64)
         n = len(h) - self.k + 1
-        if n < 1:
-            mixed = np.array([int.from_bytes(hashlib.blake2b(b" ".join(words) + b" short", digest_size=8).digest(), "little")], np.uint64)
-        else:
-            mixed = np.zeros(n, np.uint64)
-            for i in range(self.k):
-                mixed += (h[i : i + n] ^ (h[i : i + n] >> np.uint64(31))) * self.weights[i]
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            mixed ^= mixed >> np.uint64(32)
-            mixed = np.unique(mixed)
-        low = mixed.astype(np.uint32)
+        mixed = np.zeros(n, np.uint64)
+        for i in range(self.k):
+            mixed += (h[i : i + n] ^ (h[i : i + n] >> np.uint64(31))) * self.weights[i]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        return np.unique(mixed)
+
+    def sketch(self, text: str | None) -> tuple[bytes, int, list[int] | None]:
+        """Fingerprint of the word sequence, number of distinct shingles, signature (null without words)."""
+        words = words_of(text)
+        fp = fingerprint(words)
+        hashes = self.hashes(words)
+        if not len(hashes):
+            return fp, 0, None
+        low = hashes.astype(np.uint32)
         least = np.full(len(self.mul), 0xFFFFFFFF, np.uint32)
-        for i in range(0, len(low), 256):
-            np.minimum(least, (low[i : i + 256, None] * self.mul + self.add).min(0), out=least)
+        for i in range(0, len(low), 4096):
+            np.minimum(least, (low[i : i + 4096, None] * self.mul + self.add).min(0), out=least)
         least *= np.uint32(0x9E3779B1)
-        lanes = (least >> np.uint32(29)).astype(np.uint64).reshape(LONG_WORDS, LANES)
-        return fp, len(mixed), (least[: CHUNKS * WIDTH] >> np.uint32(32 - BITS)).tolist(), (lanes << self.shifts).sum(1, dtype=np.uint64).astype(np.int64).tolist()
+        return fp, len(hashes), (least >> np.uint32(32 - BITS)).tolist()
+
+
+def fingerprint(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def sketches(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,24 +122,26 @@ def sketches(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id", te
                 b = whole.slice(i, 1024)
                 made = [maker.sketch(t) for t in b.column(2).to_pylist()]
                 yield pa.record_batch(
-                    [b.column(0), b.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int32())), pa.array([m[3] for m in made], pa.list_(pa.int64()))],
-                    names=["doc_id", "text_hash", "fp", "n_shingles", "sig", "bits"],
+                    [b.column(0), b.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int32()))],
+                    names=["doc_id", "text_hash", "fp", "n_shingles", "sig"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH_SCHEMA)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of the ``wanted`` (node, class_id). Ids can repeat or be null, so the words decide the node."""
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, hashes) of the ``wanted`` (node, class_id). Ids can repeat or be null, so the words decide the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest() for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(fps, pa.binary()), b.column(0)], names=["fp", "text"])
+        maker = Sketcher(k)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                words = [words_of(t) for t in whole.slice(i, 1024).column(0).to_pylist()]
+                yield pa.record_batch([pa.array(list(map(fingerprint, words)), pa.binary()), pa.array([maker.hashes(w).tobytes() for w in words], pa.binary())], names=["fp", "hashes"])
 
     ids = wanted.select("class_id").distinct()
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("class_id")), "left_semi")
-    of_node = some.select("text").mapInArrow(run, "fp binary, text string").select(F.xxhash64("fp").alias("node"), "text")
+    of_node = some.select("text").mapInArrow(run, "fp binary, hashes binary").select(F.xxhash64("fp").alias("node"), "hashes")
     return of_node.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -144,38 +155,6 @@ def index_entries(classes: DataFrame) -> DataFrame:
     return classes.where("sig is not null").select("node", F.posexplode(F.array(*keys)).alias("slot", "key"))
 
 
-def chunk_words(sig: str = "sig") -> Column:
-    """A word for each chunk, 12 bits a symbol of which the highest is free."""
-    lanes = lambda c: [F.shiftleft(F.get(sig, F.lit(c * WIDTH + j)).cast("long"), 12 * j) for j in range(WIDTH)]
-    return F.array(*[reduce(lambda x, y: x.bitwiseOR(y), lanes(c)) for c in range(CHUNKS)])
-
-
-def first_slot(a: str, b: str) -> Column:
-    """The first slot in which two signatures agree. A pair is looked at in this entry only, of all those it meets in."""
-    low = sum(0x7FF << (12 * j) for j in range(WIDTH))
-    high = sum(0x800 << (12 * j) for j in range(WIDTH))
-    found = F.lit(None).cast("int")
-    for c in reversed(range(CHUNKS)):
-        wrong = (F.get(a, F.lit(c)).bitwiseXOR(F.get(b, F.lit(c))) + F.lit(low)).bitwiseAND(F.lit(high))
-        # the mark of symbol j is bit 12 * j + 11
-        place = F.when(wrong == 0, F.lit(0)).otherwise(((F.bit_count(wrong - 1) - 11) / 12).cast("int"))
-        found = F.when(F.bit_count(wrong) <= ERRORS, place + c * WIDTH).otherwise(found)
-    return found
-
-
-def distance(a: str, b: str) -> Column:
-    """Symbols that differ between two long signatures: a lane's spare bit is set where its other three are not all 0."""
-    low, high = 0x0777777777777777, 0x0888888888888888
-    parts = [F.bit_count((F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) + F.lit(low)).bitwiseAND(F.lit(high))) for i in range(LONG_WORDS)]
-    return reduce(lambda x, y: x + y, parts)
-
-
-def farthest(percent: int) -> int:
-    """The distance that long signatures of texts of this similarity exceed with probability 1e-6."""
-    n, p = LANES * LONG_WORDS, (1 - percent / 100) * 7 / 8
-    return int(n * p + SIGMAS * (n * p * (1 - p)) ** 0.5) + 1
-
-
 def neighbours(members: DataFrame) -> DataFrame:
     """(a, b): nodes that follow each other in the order of an entry's signatures. Entries are cut where sorted ranges of
     rows end, so that none has to fit a task; what is missed there is for the later rounds."""
@@ -199,24 +178,133 @@ def neighbours(members: DataFrame) -> DataFrame:
     return keyed.select("key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` with 100 * intersection >= percent * union of their full shingle sets."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` with 100 * intersection >= percent * union of their shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                ok, last, mine = [], None, set()
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    if x != last:
-                        last, mine = x, shingles_of(words_of(x), k)
-                    other = shingles_of(words_of(y), k)
-                    both = len(mine & other)
-                    ok.append(bool(mine) and 100 * both >= percent * (len(mine) + len(other) - both))
+                ok = []
+                for x, y in zip(b.column(2), b.column(3), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = 0
+                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                        both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                    ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+    return with_a.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+
+
+def first_slots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(rows of x, rows of y): the first slot in which two signatures meet, -1 where they do not."""
+    out = np.full((len(x), len(y)), -1, np.int16)
+    for c in reversed(range(CHUNKS)):
+        wrong, place = np.zeros(out.shape, np.int8), np.zeros(out.shape, np.int8)
+        for j in reversed(range(WIDTH)):
+            differs = x[:, None, c * WIDTH + j] != y[None, :, c * WIDTH + j]
+            wrong += differs
+            place[differs] = j
+        near = wrong <= ERRORS
+        out[near] = place[near] + c * WIDTH
+    return out
+
+
+def candidates(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group of rows (an entry's two blocks, or one with itself): places of each block's rows, and which pairs are to
+    be compared here."""
+    side = t.column("side").to_numpy()
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = t.column("one")[0].as_py() == t.column("other")[0].as_py()
+    y = x if alone else y
+    comp, n, out = (t.column(c).to_numpy() for c in ("comp", "n_shingles", "outside"))
+    sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    low, high = np.minimum(n[x, None], n[y]), np.maximum(n[x, None], n[y])
+    # both sets share what they have outside at most, and a link needs so much
+    near = (comp[x, None] != comp[y]) & (100 * low >= percent * high) & ((100 + percent) * np.minimum(out[x, None], out[y]) >= percent * (low + high))
+    if alone:
+        near &= np.arange(len(x))[:, None] < np.arange(len(x))
+    if near.any():
+        near &= first_slots(sig[x], sig[y]) == t.column("slot")[0].as_py()
+    return x, y, near
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """(len(x), len(y)) sizes of intersections, by products of 0/1 matrices of bounded width."""
+    sizes = [len(h) for h in (*x, *y)]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    some = times[column] > 1
+    row, column = row[some], (np.cumsum(times > 1) - 1)[column[some]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)))
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [begin, begin + COLUMNS])
+        m = np.zeros((len(sizes), COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - begin] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out.astype(np.int64)
+
+
+def grouped(members: DataFrame) -> GroupedData:
+    """By pairs of blocks. Comparing costs more than the rows' bytes tell, so the partitions' number is not left to them."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(n, "key", "one", "other").groupBy("key", "one", "other")
+
+
+def involved(members: DataFrame, percent: int) -> DataFrame:
+    """The rows of each group that have a pair to compare."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, near = candidates(t, percent)
+        return t.take(pa.array(np.unique(np.concatenate([x[near.any(1)], y[near.any(0)]]))))
+
+    return grouped(members).applyInArrow(run, members.schema)
+
+
+def links_of(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links between different components within each group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, near = candidates(t, percent)
+        sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in t.column("hashes")]
+        n, node = t.column("n_shingles").to_numpy(), t.column("node").to_numpy()
+        both = shared_counts([sets[i] for i in x], [sets[i] for i in y])
+        i, j = np.nonzero(near & (both > 0) & (100 * both >= percent * (n[x, None] + n[y] - both)))
+        return pa.table({"a": np.minimum(node[x[i]], node[y[j]]), "b": np.maximum(node[x[i]], node[y[j]])})
+
+    return grouped(members).applyInArrow(run, "a long, b long")
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (key, n_shingles, ...) once for each pair of blocks that they are in: one <= other, and the row's side."""
+    count = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(count, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"one": F.least("own", "with"), "other": F.greatest("own", "with"), "side": (F.col("own") > F.col("with")).cast("int")}).drop("own", "with", "blocks")
+
+
+def spanning(members: DataFrame) -> DataFrame:
+    """``members`` (key, comp, ...) of the entries that hold more than one component."""
+    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return members.join(keys, "key")
+
+
+def outside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, outside): how many of a node's shingles occur in other components, of ``nodes`` (node, comp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                h = np.frombuffer(b.column(2)[i].as_buffer(), np.int64)
+                yield pa.record_batch([pa.array(np.full(len(h), b.column(k)[i].as_py())) for k in (0, 1)] + [pa.array(h)], names=["node", "comp", "h"])
+
+    each = nodes.join(sets, "node").select("node", "comp", "hashes").mapInArrow(run, "node long, comp long, h long")
+    shared = each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+    return each.join(shared, "h").groupBy("node").agg(F.count("*").alias("outside"))
 
 
 def signature(edges: DataFrame) -> tuple:
@@ -231,6 +319,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large and small stars, which join a component of n nodes in O(log n) rounds.
     """
     edges = written(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "links")
+    before = signature(edges)
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         root = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -238,9 +327,12 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         after = written(small, "links")
-        if signature(after) == signature(edges):
-            return after.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).unionByName(after.select(F.col("lo").alias("node"), F.col("lo").alias("comp"))).distinct()
-        edges = after
+        discard(edges)
+        if (now := signature(after)) == before:
+            found = written(after.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).unionByName(after.select(F.col("lo").alias("node"), F.col("lo").alias("comp"))).distinct(), "components")
+            discard(after)
+            return found
+        edges, before = after, now
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,48 +340,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     text_hash, node (of its component; of all rows without shingles the same)."""
     rows = written(sketches(docs, k, id_col, text_col), "sketches")
     # a node is a class of equal word sequences, named by a hash of its fingerprint
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     classes = written(classes.withColumn("node", F.xxhash64("fp")), "classes")
     entries = index_entries(classes)
-    shared = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key")
-    own = classes.select("node", "sig")
-    open_ = written(entries.join(shared, "key").select("key", "slot", "node").join(own, "node").select("key", "slot", "node", "sig"), "entries")
+    shared = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
+    open_ = written(entries.join(shared, "key").select("key", "slot", "node", "first"), "entries")
     wanted = classes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "class_id")
-    texts = written(texts_of(docs, wanted, id_col, text_col), "texts")
-
-    least = open_.groupBy("key").agg(F.min("node").alias("head"))
-    stars = open_.select("key", "node").join(least, "key").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    tested = written(stars.unionByName(neighbours(open_)).distinct(), "pairs")
-    comps = written(components(confirm(tested, texts, k, percent)), "components")
-    members = open_.select("key", "slot", "node")
-    bits = classes.select("node", "bits", "n_shingles", chunk_words().alias("chunks"))
-    heads_of, spread = least, 1
-    while True:
-        rest = members.join(heads_of.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
-        # an entry stays open while a member that was no representative may link to one of another component
-        placed = rest.join(comps, "node", "left").select("key", "slot", "node", F.coalesce("comp", "node").alias("comp"))
-        spans = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        members = written(placed.join(spans, "key").join(bits, "node"), "open")
-        if members.isEmpty():
-            break
-        spread = min(64 * spread, 1 << 30)
-        deal = F.pmod(F.xxhash64("node", F.lit(spread)), F.lit(spread))
-        first = F.min_by(F.struct(F.col("node").alias("head"), F.col("comp").alias("head_comp"), F.col("bits").alias("head_bits"), F.col("chunks").alias("head_chunks"), F.col("n_shingles").alias("head_n")), "node")
-        heads_of = written(members.withColumn("deal", deal).groupBy("key", "deal").agg(first.alias("h")).select("key", "h.*"), "heads")
-        near = (F.col("comp") != F.col("head_comp")) & (F.col("slot") == first_slot("chunks", "head_chunks")) & (100 * F.least("n_shingles", "head_n") >= percent * F.greatest("n_shingles", "head_n")) & (distance("bits", "head_bits") <= farthest(percent))
-        pairs = members.join(heads_of.withColumnRenamed("key", "h_key"), (F.col("key") == F.col("h_key")) & near)
-        pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        found = written(confirm(pairs, texts, k, percent), "confirmed")
-        if not found.isEmpty():
-            # the links between components, contracted
-            of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}"))
-            ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-            above = written(components(ends), "contracted").select(F.col("node").alias("under"), F.col("comp").alias("over"))
-            moved = comps.unionByName(above.join(comps, F.col("under") == F.col("node"), "left_anti").select(F.col("under").alias("node"), F.col("under").alias("comp")))
-            comps = written(moved.join(above, F.col("comp") == F.col("under"), "left").select("node", F.coalesce("over", "comp").alias("comp")), "components")
-        members = members.select("key", "slot", "node")
+    sets = written(sets_of(docs, wanted, k, id_col, text_col), "sets")
+    own = classes.select("node", "n_shingles", "sig")
+
+    stars = open_.where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+    tested = stars.unionByName(neighbours(open_.join(own, "node"))).distinct()
+    comps = components(confirm(tested, sets, percent))
+
+    placed = open_.join(comps, "node", "left").select("key", "slot", "node", F.coalesce("comp", "node").alias("comp"))
+    left = written(spanning(placed), "left")
+    reach = outside(left.select("node", "comp").distinct(), sets)
+    enough = written(reach.join(own, "node").where(100 * F.col("outside") >= percent * F.col("n_shingles")).select("node", "outside", "n_shingles", "sig"), "enough")
+    members = in_blocks(spanning(left.join(enough.select("node", "outside", "n_shingles"), "node")))
+    with_sig = written(involved(members.join(enough.select("node", "sig"), "node"), percent), "members")
+    found = written(links_of(with_sig.join(sets, "node"), percent).distinct(), "confirmed")
+    if not found.isEmpty():
+        # the links between components, contracted
+        of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}"))
+        ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+        above = components(ends).select(F.col("node").alias("under"), F.col("comp").alias("over"))
+        moved = comps.unionByName(above.join(comps, F.col("under") == F.col("node"), "left_anti").select(F.col("under").alias("node"), F.col("under").alias("comp")))
+        comps = written(moved.join(above, F.col("comp") == F.col("under"), "left").select("node", F.coalesce("over", "comp").alias("comp")), "components")
+    discard(open_, sets, left, enough, with_sig, found)
 
     of_node = classes.select("node", "fp", "class_id").join(comps, "node", "left").select("fp", "class_id", F.coalesce("comp", "node").alias("comp"))
     least = of_node.groupBy("comp").agg(F.min("class_id").alias("component_id"))
