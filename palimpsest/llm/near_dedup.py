@@ -40,9 +40,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 80
 CHUNKS, WIDTH, ERRORS, BITS = 8, 5, 1, 11
 #: A block of an entry's members holds so many of them, or so many bytes of their sets, on average.
-BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 #: Columns of the matrices with which two blocks are compared.
-COLUMNS = 1 << 14
+COLUMNS = 1 << 12
 SEED = 20_240_601
 #: Words of a worker whose hashes are kept; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
@@ -279,9 +279,12 @@ def links_of(members: DataFrame, percent: int) -> DataFrame:
     return grouped(members).applyInArrow(run, "a long, b long")
 
 
-def in_blocks(members: DataFrame) -> DataFrame:
-    """``members`` (key, n_shingles, ...) once for each pair of blocks that they are in: one <= other, and the row's side."""
-    count = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+def in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (key, n_shingles, outside, ...) once for each pair of blocks that they are in: one <= other, and the
+    row's side. Entries of two members that cannot link are left out here."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int")
+    can = (100 * F.min("n_shingles") >= percent * F.max("n_shingles")) & ((100 + percent) * F.min("outside") >= percent * F.sum("n_shingles"))
+    count = members.groupBy("key").agg(blocks.alias("blocks"), ((F.count("*") > 2) | can).alias("can")).where("can").drop("can")
     dealt = members.join(count, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumns({"one": F.least("own", "with"), "other": F.greatest("own", "with"), "side": (F.col("own") > F.col("with")).cast("int")}).drop("own", "with", "blocks")
@@ -357,7 +360,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     left = written(spanning(placed), "left")
     reach = outside(left.select("node", "comp").distinct(), sets)
     enough = written(reach.join(own, "node").where(100 * F.col("outside") >= percent * F.col("n_shingles")).select("node", "outside", "n_shingles", "sig"), "enough")
-    members = in_blocks(spanning(left.join(enough.select("node", "outside", "n_shingles"), "node")))
+    members = in_blocks(spanning(left.join(enough.select("node", "outside", "n_shingles"), "node")), percent)
     with_sig = written(involved(members.join(enough.select("node", "sig"), "node"), percent), "members")
     found = written(links_of(with_sig.join(sets, "node"), percent).distinct(), "confirmed")
     if not found.isEmpty():
