@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import mixing, near_dedup, packing, quality, toxicity
 from palimpsest.llm.sampling import held_out
-from palimpsest.session import table, written
+from palimpsest.session import discard, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs

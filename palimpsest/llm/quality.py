@@ -6,8 +6,10 @@ of all documents, a path's rate one around its host's posterior mean; the priors
 variance (method of moments), so sparse sites shrink toward the level above and large ones speak for themselves. A
 document's log odds are its classifier evidence plus the log odds of its path, relative to the corpus' rate.
 
-Training takes a bounded sample of labelled rows: SAMPLE_ROWS of each label, by the smallest hash of the id, none longer
-than SAMPLE_TEXT characters. Counts and rates are of all rows, all texts are read whole.
+Training takes a bounded sample of labelled rows: SAMPLE_ROWS of each label, by the smallest hash of the id. Features are
+made where the texts lie; of the sample only they go to the driver. Counts and rates are of all rows, all texts are read
+whole, once: evidence is written beside the columns that are asked for, and the rates are taken from it. A site's rate
+counts the document itself like its others.
 
 Defined results: a null text has the features of an empty one; null hosts or paths are a site of their own; without
 labels of both kinds the classifier says 1/2 and nothing is rejected; repeated rows count and score each for
@@ -27,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.sampling import bounded_sample, held_out, sampled_texts
+from palimpsest.llm.sampling import bounded_sample, held_out
 from palimpsest.session import fresh, table, written
 
 SAMPLE_ROWS = 3000
-SAMPLE_TEXT = 20_000
 #: A document of this probability of being good, or more, is kept.
 KEEP = 0.3
 #: What a site's rate can add to the log odds at most, and the least and largest prior strengths in documents.
@@ -82,13 +83,14 @@ def features(text: str | None) -> list[float]:
 class Classifier:
     """Logistic regression with a ridge, fitted by Newton steps."""
 
-    def __init__(self, rows: list[tuple[str, int]], ridge: float = 1.0):
+    def __init__(self, rows: list[tuple[tuple[float, ...], int]], ridge: float = 1.0):
+        """rows: features and label; equal rows count once."""
         rows = sorted(set(rows))
         self.w: np.ndarray | None = None
         y = np.array([y for _, y in rows], float)
         if not len(y) or y.min() == y.max():
             return
-        x = np.array([features(t) for t, _ in rows])
+        x = np.array([f for f, _ in rows])
         self.mean, self.std = x.mean(0), x.std(0) + 1e-9
         self.mean[0], self.std[0] = 0, 1
         x = (x - self.mean) / self.std
@@ -115,7 +117,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None, id_col
         labels = labels.where(rows)
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("stratum"))
     sample = bounded_sample(known, "stratum", SAMPLE_ROWS, SEED)
-    return Classifier([(text, y) for _, y, text in sampled_texts(docs, sample, "stratum", id_col, text_col, SAMPLE_TEXT)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["stratum", "features"])
+
+    some = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    found = some.join(sample, F.col("id_") == F.col("id")).select("stratum", "text").mapInArrow(run, "stratum int, features array<double>")
+    return Classifier([(tuple(r.features), r.stratum) for r in found.collect()])
 
 
 def with_evidence(docs: DataFrame, model: Classifier, text_col: str, name: str) -> DataFrame:
@@ -164,12 +173,13 @@ def logit(c: Column) -> Column:
     return F.log(c / (1 - c))
 
 
-def judged(docs: DataFrame, model: Classifier, host: Column, path: Column, keep: float, text_col: str) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with added columns, and the added columns' names."""
+def judged(docs: DataFrame, model: Classifier, host: Column, path: Column, text_col: str, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``columns`` of docs with added columns, and the added columns' names."""
     names = dict(zip(("host", "path", "e"), fresh(docs, "q_host", "q_path", "q_evidence"), strict=True))
     sited = docs.withColumns({names["host"]: host.cast("string"), names["path"]: path.cast("string")})
-    evident = with_evidence(sited, model, text_col, names["e"])
-    rates, base = site_rates(with_evidence(sited.select(names["host"], names["path"], text_col), model, text_col, "e").select(F.col(names["host"]).alias("host"), F.col(names["path"]).alias("path"), "e"))
+    taken = with_evidence(sited, model, text_col, names["e"]).select(*[F.col(f"`{c}`") for c in [*columns, *names.values()]])
+    evident = written(taken, "evidence")
+    rates, base = site_rates(evident.select(*[F.col(names[k]).alias(k) for k in ("host", "path", "e")]))
     added = dict(zip(("host_rate", "path_rate", "path_n"), fresh(evident, "q_host_rate", "q_path_rate", "q_path_n"), strict=True))
     r_host, r_path = fresh(evident, "r_host", "r_path")
     rates = rates.withColumnsRenamed({"host": r_host, "path": r_path, **added})
@@ -192,7 +202,7 @@ def path_of(docs: DataFrame) -> Column:
 
 def drop_bad(docs: DataFrame, model: Classifier, keep: float = KEEP, text_col: str = "text") -> DataFrame:
     """``docs`` without those below ``keep``, its columns unchanged."""
-    out, names = judged(docs, model, host_of(docs), path_of(docs), keep, text_col)
+    out, names = judged(docs, model, host_of(docs), path_of(docs), text_col, docs.columns)
     return out.where(F.col(names["score"]) >= keep).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -200,7 +210,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score (probability of being good), kept, evidence, host_rate, path_rate, path_n."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
-    out, n = judged(docs.select("doc_id", "text", "source", "lang"), model, host_of(docs), path_of(docs), KEEP, "text")
+    out, n = judged(docs.select("doc_id", "text", "source", "lang"), model, host_of(docs), path_of(docs), "text", ["doc_id"])
     score = F.col(n["score"])
     return out.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= KEEP).alias("kept"), F.col(n["e"]).alias("evidence"), F.col(n["host_rate"]).alias("host_rate"), F.col(n["path_rate"]).alias("path_rate"), F.col(n["path_n"]).alias("path_n"))
 

@@ -1,24 +1,24 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, trained from document labels.
 
-A document is a bag of sentences, a sentence a bag of words. A word has probability p_w = sigmoid(b + sum of its
-features' weights), with b the log odds of FLOOR; a sentence is toxic with 1 - product of q_w, a document with
-1 - product of its sentences' (1 - p_s), where q_w = (1 - p_w) / (1 - FLOOR), 1 at most, leaves the floor out and a word
-counts in one sentence of the document: noisy-or over noisy-or. So a single bad sentence is enough, and no sentence is
-ever labelled; neither length nor the repetition of a word makes anything toxic. Weights are fitted by gradient descent
-on the documents' labels, on these same bags, of which a share NOISE is taken to be wrong either way. After training the
-sentence scores, of all words of the sentence, say where the document offends.
-
-Words are runs of letters of the lower-cased text; a word has itself and its openings of 4 to 8 letters as features, so
-that inflected forms share evidence. Features that the training labels favour by a likelihood ratio of at least EVIDENCE
-get a weight; near copies count once there. Words without any such feature count nothing. While fitting, a random part
-of the features is left out of each step: otherwise the words that explain most documents take all the weight, and rarer
-ones would not suffice by themselves.
-
-Training takes a bounded sample of labelled rows: SAMPLE_ROWS of each label, by the smallest hash of the id. Texts of any
-length are trained on and scored whole; of the sample's, only distinct words and sentence digests go to the driver.
-
-Defined results: null and empty texts score 0; without labelled rows all score 0; repeated label rows of an id count
-once, as toxic if one says so; repeated documents score alike. Other columns are not read.
+A document is a bag of sentences. A sentence has the score p_s = sigmoid(b + sum of the weights of its features), with b
+the log odds of FLOOR; a document is toxic with 1 - product of q_s over its sentences, where q_s = (1 - p_s) / (1 - FLOOR),
+1 at most, leaves the floor out: a sentence without evidence says nothing, so length alone makes nothing toxic. Sentences
+with the same features are one instance, so neither does repetition. No sentence is ever labelled: the weights are fitted
+by gradient descent on the documents' labels through the noisy-or, of which a share NOISE is taken to be wrong either way.
+Training and scoring have the same instances and the same formula. After training the sentence scores say where the
+document offends.
+
+Features of a sentence are its distinct words and their openings of 4 to 8 letters, so that inflected forms share
+evidence; words are runs of letters of the lower-cased text. Features that the training labels favour by a likelihood
+ratio of at least EVIDENCE get a weight; near copies count once there. While fitting, a random part of the features is
+left out of each step: otherwise the words that explain most documents take all the weight, and rarer ones would not
+suffice by themselves.
+
+Training takes a bounded sample of labelled rows: SAMPLE_ROWS of each label, by the smallest hash of the id. It runs in
+one task; only the weights go to the driver. Texts of any length are trained on and scored whole.
+
+Defined results: null and empty texts score 0; without labelled rows of both kinds all score 0; repeated label rows of an
+id count once, as toxic if one says so; repeated documents score alike. Other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -41,9 +40,11 @@ from palimpsest.session import table
 
 SAMPLE_ROWS = 3000
 NOISE = 0.03
-EVIDENCE = 18.0
+EVIDENCE = 10.0
 FLOOR = 1e-2
-RIDGE = 0.05
+RIDGE = 0.2
+#: Share of the features that a step leaves out.
+DROPPED = 0.3
 OPENINGS = (4, 8)
 THRESHOLD = 0.7
 SEED = 5
@@ -62,12 +63,11 @@ def features_of(word: str) -> list[str]:
 
 
 class Bag(NamedTuple):
-    """What training needs of a text: a digest, its distinct words with blanks between, and 8-byte digests of its
-    sentences of over 20 characters."""
+    """What training needs of a text: a digest, and of each distinct sentence with a word its distinct words with blanks
+    between."""
 
     key: str
-    words: str
-    sentences: bytes
+    sentences: list[str]
 
 
 def digest(s: str) -> bytes:
@@ -76,16 +76,15 @@ def digest(s: str) -> bytes:
 
 def bag_of(text: str) -> Bag:
     low = text.lower()
-    long = {s for s in SENTENCE.findall(low) if len(s) > 20}
-    return Bag(digest(low).hex(), " ".join(sorted(set(WORD.findall(low)))), b"".join(sorted(map(digest, long))))
+    return Bag(digest(low).hex(), sorted({" ".join(sorted(set(WORD.findall(x)))) for x in set(SENTENCE.findall(low))} - {""}))
 
 
 def unlike(rows: list[tuple[Bag, int]]) -> list[tuple[Bag, int]]:
-    """``rows`` without those that share half of their sentences with earlier ones."""
-    seen: set[int] = set()
+    """``rows`` without those that share half of their longer sentences with earlier ones."""
+    seen: set[bytes] = set()
     out = []
     for bag, y in rows:
-        own = set(np.frombuffer(bag.sentences, "<i8").tolist())
+        own = {digest(x) for x in bag.sentences if len(x) > 20}
         if not own or 2 * len(own & seen) < len(own):
             out.append((bag, y))
         seen |= own
@@ -93,26 +92,25 @@ def unlike(rows: list[tuple[Bag, int]]) -> list[tuple[Bag, int]]:
 
 
 class SentenceModel:
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: dict[str, float], bias: float = math.log(FLOOR / (1 - FLOOR))):
         self.weights, self.bias = weights, bias
-        self.words: dict[str, float] = {}
+        self.words: dict[str, tuple[str, ...]] = {}
 
     @classmethod
-    def fit(cls, rows: list[tuple[Bag, int]], steps: int = 300, rate: float = 0.15, ridge: float = RIDGE, dropped: float = 0.3) -> SentenceModel:
+    def fit(cls, rows: list[tuple[Bag, int]], steps: int = 300, rate: float = 0.15, ridge: float = RIDGE, dropped: float = DROPPED, evidence: float = EVIDENCE) -> SentenceModel:
         once = {(bag.key, y): bag for bag, y in rows}
-        bags = [([sys.intern(w) for w in bag.words.split()], y) for bag, y in unlike([(once[k], k[1]) for k in sorted(once)])]
+        bags = unlike([(once[k], k[1]) for k in sorted(once)])
         n1 = sum(y for _, y in bags)
         n0 = len(bags) - n1
-        bias = math.log(FLOOR / (1 - FLOOR))
         if not n1 or not n0:
-            return cls({}, bias)
+            return cls({})
         in1, in0 = Counter(), Counter()
-        for words, y in bags:
+        for bag, y in bags:
             if y:
-                in1.update({f for w in words for f in features_of(w)})
-        for words, y in bags:
+                in1.update({f for w in set(" ".join(bag.sentences).split()) for f in features_of(w)})
+        for bag, y in bags:
             if not y:
-                in0.update({f for w in words for f in features_of(w) if f in in1})
+                in0.update({f for w in set(" ".join(bag.sentences).split()) for f in features_of(w) if f in in1})
         share = n1 / (n0 + n1)
         # a longer feature must say more than the longest shorter one that is in already
         rates: dict[str, float] = {}
@@ -122,23 +120,23 @@ class SentenceModel:
             base = next((rates[o] for k in range(min(OPENINGS[1], len(opening)), OPENINGS[0] - 1, -1) if (o := opening[:k] + "*") in rates), share)
             if a / n > base:
                 ratio = 2 * a * math.log(a / n / base) + (2 * (n - a) * math.log((n - a) / n / (1 - base)) if n > a else 0)
-                if ratio >= EVIDENCE:
+                if ratio >= evidence:
                     rates[f] = min(a / n, 1 - 0.5 / n)
-        place = {f: i for i, f in enumerate(sorted(rates))}
-        # the sparse design: instances are the distinct words with a feature of the vocabulary, as they are scored
+        model = cls(dict.fromkeys(sorted(rates), 2.0))
+        place = {f: i for i, f in enumerate(model.weights)}
+        # the sparse design: instances are the distinct sets of features of a document's sentences, as they are scored
         doc, inst, col = [], [], []
         n = 0
-        for d, (words, _) in enumerate(bags):
-            for w in words:
-                found = [place[f] for f in features_of(w) if f in place]
+        for d, (bag, _) in enumerate(bags):
+            for found in {model.features_in(x.split()) for x in bag.sentences}:
                 if found:
                     doc.append(d)
                     inst += [n] * len(found)
-                    col += found
+                    col += [place[f] for f in found]
                     n += 1
         y = np.array([y for _, y in bags], float)
         doc, inst, col = np.array(doc, int), np.array(inst, int), np.array(col, int)
-        w = np.full(len(place), 2.0)
+        w, bias = np.full(len(place), 2.0), model.bias
         m, v = np.zeros_like(w), np.zeros_like(w)
         rng = np.random.Generator(np.random.PCG64(SEED))
         for t in range(1, steps + 1):
@@ -152,57 +150,64 @@ class SentenceModel:
             g = np.bincount(col, (slope[doc] * p)[inst], minlength=len(w)) * on + ridge * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        return cls({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 0.05}, bias)
+        return cls({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 0.05})
 
-    def _of(self, words: set[str]) -> dict[str, float]:
-        """The words among ``words`` that have a weight."""
+    def features_in(self, words: Iterable[str]) -> frozenset[str]:
+        """The features with a weight that these words have."""
         memo = self.words
         if len(memo) > 300_000:
             memo.clear()
-        for w in words.difference(memo):
-            memo[w] = sum(self.weights.get(f, 0.0) for f in features_of(w))
-        return {w: memo[w] for w in words if memo[w] > 0}
+        out: set[str] = set()
+        for w in words:
+            own = memo.get(w)
+            if own is None:
+                own = memo[w] = tuple(f for f in features_of(w) if f in self.weights)
+            if own:
+                out.update(own)
+        return frozenset(out)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score, and (start, end, score) of each sentence with a known word."""
+        """The document's score, and (start, end, score) of each sentence with a known feature."""
         if not text or not self.weights:
             return 0.0, []
         low = text.lower()
-        known = self._of(set(WORD.findall(low)))
-        if not known:
+        if not self.features_in(set(WORD.findall(low))):
             return 0.0, []
         if len(low) != len(text):  # a letter that lower-cases to two; keep the offsets of the text
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        floor = 1 + math.exp(self.bias)
-        left = {w: min(1.0, floor / (1 + math.exp(self.bias + v))) for w, v in sorted(known.items())}
-        found = []
+        found, left = [], {}
         for a, b in sentences_of(low):
-            own = known.keys() & set(WORD.findall(low[a:b]))
+            own = self.features_in(set(WORD.findall(low[a:b])))
             if own:
-                found.append((a, b, 1 - math.prod(left[w] for w in sorted(own))))
-        return 1 - math.prod(left.values()), found
-
-
-def sampled_bags(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> list[tuple[Bag, int]]:
-    """(bag, label) of the sample's rows with a text; texts of any length, made into bags where they lie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, words, sentences = zip(*(bag_of(t) for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(keys, pa.string()), pa.array(words, pa.string()), pa.array(sentences, pa.binary())], names=["stratum", "key", "words", "sentences"])
-
-    some = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    found = some.join(sample, F.col("id_") == F.col("id")).select("stratum", "text").mapInArrow(run, "stratum int, key string, words string, sentences binary")
-    return [(Bag(r[1], r[2], bytes(r[3])), r[0]) for r in found.collect()]
+                # in a fixed order, so that equal sentences have equal sums
+                z = self.bias + sum(self.weights[f] for f in sorted(own))
+                found.append((a, b, 1 / (1 + math.exp(-z))))
+                left[own] = min(1.0, (1 + math.exp(self.bias)) / (1 + math.exp(z)))
+        return 1 - math.prod(sorted(left.values())), found
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SentenceModel:
-    """From the labels of those ``rows`` (an expression on the id) of ``labels``."""
+    """From the labels of those ``rows`` (an expression on the id) of ``labels``. The bags of the sample, which is bounded,
+    are made where the texts lie and meet in one task that fits the weights."""
     if rows is not None:
         labels = labels.where(rows)
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("stratum"))
     sample = bounded_sample(known, "stratum", SAMPLE_ROWS, SEED)
-    return SentenceModel.fit(sampled_bags(docs, sample, id_col, text_col))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [bag_of(t) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([m.key for m in made], pa.string()), pa.array([m.sentences for m in made], pa.list_(pa.string()))], names=["stratum", "key", "sentences"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(Bag(key, sentences), y) for b in batches for y, key, sentences in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        weights = SentenceModel.fit(found).weights
+        yield pa.record_batch([pa.array(list(weights), pa.string()), pa.array(list(weights.values()), pa.float64())], names=["feature", "weight"])
+
+    some = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    found = some.join(sample, F.col("id_") == F.col("id")).select("stratum", "text").mapInArrow(bags, "stratum int, key string, sentences array<string>")
+    weights = found.repartition(1).mapInArrow(fit, "feature string, weight double")
+    return SentenceModel(dict(sorted((r.feature, r.weight) for r in weights.collect())))
 
 
 def score_toxicity(docs: DataFrame, model: SentenceModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
