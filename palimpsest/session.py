@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where neither the cluster nor the caller names a folder, in local mode.
 LOCAL_SHARED = "/tmp/palimpsest-shared"
+#: Rows that go to a Python worker at a time, where nobody says otherwise: rows hold whole texts.
+ARROW_ROWS = 1000
 
 
 def build_session(app: str = "palimpsest", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -28,7 +30,15 @@ def build_session(app: str = "palimpsest", master: str | None = None, partitions
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch in this session, unless its settings do."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) in (None, "10000"):
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +61,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     The folder goes with ``discard``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
