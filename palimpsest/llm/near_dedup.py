@@ -45,7 +45,7 @@ BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 COLUMNS = 1 << 12
 SEED = 20_240_601
 #: Words of a worker whose hashes are kept; the cache starts anew beyond it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 SKETCH_SCHEMA = "doc_id long, text_hash long, fp binary, n_shingles long, sig array<int>"
 

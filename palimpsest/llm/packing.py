@@ -38,7 +38,7 @@ MAX_QUEUES = 1024
 #: Windows of a block.
 BLOCK = 128
 #: Cached words of a worker; the cache starts anew beyond it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 TOKENS_SCHEMA = "doc_id long, queue string, part int, local_start long, doc_tokens long, ids binary"
 PIECE_SCHEMA = (

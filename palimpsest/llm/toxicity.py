@@ -155,7 +155,7 @@ class SentenceModel:
     def features_in(self, words: Iterable[str]) -> frozenset[str]:
         """The features with a weight that these words have."""
         memo = self.words
-        if len(memo) > 300_000:
+        if len(memo) > 100_000:
             memo.clear()
         out: set[str] = set()
         for w in words:
