@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.session import table
+from palimpsest.session import table, written
 
 GROUP = 192
 #: MCUs of a frame, 8 x 8 pixels each, in a square.
@@ -551,7 +551,8 @@ def read_avi(media: DataFrame) -> DataFrame:
 
 def op8_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract columns, then the clips."""
-    return read_avi(encode_avi(table(spark, sf_dir, "documents")))
+    stored = written(encode_avi(table(spark, sf_dir, "documents")), "media")
+    return read_avi(stored)
 
 
 QUERIES = {"op8_avi_motion_jpeg": op8_avi_motion_jpeg}

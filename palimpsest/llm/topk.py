@@ -6,11 +6,15 @@ cell that holds the k-th score becomes the interval, until it is one integer wid
 keeps the scores not below it, at most k a task and query by (score descending, vec_id ascending), which loses nothing
 of the first k; a global ranking breaks ties by vec_id.
 
-Scores are integers: components become floor(SCALE * x), and products of these sums are exact in doubles up to 2**53.
-
-Defined results: vectors null, empty or with null or non-finite components take no part; only vectors of equal length
-are compared; a repeated row is a candidate of its own, a repeated query id is asked once (its least vector); rows with
-the query's id are not its candidates; null ids take no part. An empty table gives no row. Other columns are not read.
+Scores are exact integers: components become floor(SCALE * x). Where the bound of all scores is under 2**53 they are made
+in doubles, under 2**62 in 64-bit integers, beyond in integers of any length (slow; scores outside a long are ranked as they
+are and shown as the nearest long).
+
+Defined results: vectors null, empty or with null or non-finite components take no part; only vectors of equal length, of
+any length, are compared; a repeated row is a candidate of its own. Rows that share a query id are all asked (equal ones
+once) and rank together under it; rows with the query's id are not its candidates; ties go to the smaller vec_id; null ids
+take no part. An empty table gives no row. Vectors with a component
+beyond the doubles after scaling take no part. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import table, written
+from palimpsest.session import discard, table, written
 
 K = 10
 SCALE = 1024
@@ -33,13 +37,19 @@ BINS = 1024
 BLOCK_BYTES = 1 << 20
 #: Scores of a block that a task holds at a time.
 SCORES = 1 << 21
+LONG = (1 << 63) - 1
+#: Decimal digits that no score exceeds.
+DIGITS = 640
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v): usable rows, with integer components as doubles."""
     x = F.col("x")
-    good = F.col("id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where(x.isNotNull()).where(good).select("id", F.transform("x", lambda e: F.floor(e * F.lit(float(scale))).cast("double")).alias("v"))
+    scaled = lambda e: e * F.lit(float(scale))
+    good = F.col("id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(scaled(e)) < float("inf")))
+    # doubles from 2**53 on are whole, and floor() ends with a long
+    floor = lambda e: F.when(F.abs(e) < float(1 << 53), F.floor(e).cast("double")).otherwise(e)
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where(x.isNotNull()).where(good).select("id", F.transform("x", lambda e: floor(scaled(e))).alias("v"))
 
 
 def matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +57,18 @@ def matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
 
 
+def whole(x: np.ndarray, kind: type) -> np.ndarray:
+    """Integer-valued doubles as integers."""
+    return x.astype(np.int64) if kind is np.int64 else np.array([int(e) for e in x.ravel()], object).reshape(x.shape)
+
+
+def products(v: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact scores; the queries' type says how: doubles, 64-bit integers or integers of any length."""
+    if queries.dtype == np.float64:
+        return (v @ queries.T).astype(np.int64)
+    return whole(v, np.int64 if queries.dtype == np.int64 else object) @ queries.T
+
+
 def scored(batches: Iterator[pa.RecordBatch], queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, scores by row and query) of the rows with the queries' length."""
     dim = queries.shape[1]
@@ -59,7 +81,7 @@ def scored(batches: Iterator[pa.RecordBatch], queries: np.ndarray) -> Iterator[t
             fit = n == dim
             if fit.any():
                 v = flat[np.repeat(fit, n)].reshape(-1, dim)
-                yield ids[fit], (v @ queries.T).astype(np.int64)
+                yield ids[fit], products(v, queries)
 
 
 def histogram_pass(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
@@ -69,7 +91,7 @@ def histogram_pass(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, low: n
         counts = np.zeros((len(ids), BINS), np.int64)
         base = np.arange(len(ids)) * BINS
         for own, s in scored(batches, vectors):
-            cell = np.minimum((s - low) // width, BINS - 1)
+            cell = np.clip((s - low) // width, -1, BINS - 1).astype(np.int64)
             live = (cell >= 0) & (own[:, None] != ids)
             counts += np.bincount((cell + base)[live], minlength=counts.size).reshape(counts.shape)
         # cells below the one with this task's own k-th score cannot hold the k-th of all
@@ -80,13 +102,16 @@ def histogram_pass(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, low: n
     return rows.mapInArrow(run, "q long, cell long, n long").groupBy("q", "cell").agg(F.sum("n").alias("n"))
 
 
-def thresholds(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+def score_bound(vectors: np.ndarray, peak: float) -> int:
+    """What no score of these queries exceeds."""
+    return max((sum(abs(int(x)) for x in v) for v in vectors.tolist()), default=0) * int(peak) + 1
+
+
+def thresholds(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, bound: int) -> np.ndarray:
     """Each query's k-th score; where there are fewer candidates, a bound below all scores."""
-    norm = int(np.abs(vectors).sum(1).max(initial=0)) + 1
-    peak = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
-    bound = int(norm * (peak + 1))
-    low = np.full(len(ids), -bound, np.int64)
-    width = np.full(len(ids), -(-(2 * bound + 1) // BINS), np.int64)
+    kind = object if vectors.dtype == object else np.int64
+    low = np.full(len(ids), -bound, kind)
+    width = np.full(len(ids), -(-(2 * bound + 1) // BINS), kind)
     need = np.full(len(ids), k, np.int64)
     while True:
         found = histogram_pass(rows, ids, vectors, low, width, k).toPandas()
@@ -104,7 +129,7 @@ def thresholds(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) ->
 
 
 def last_pass(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): a task's first k of those not below the query's k-th score."""
+    """(query_id, vec_id, score, exact): exact orders scores outside a long. A task's first k of those not below the query's k-th score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: pd.DataFrame | None = None
@@ -112,41 +137,44 @@ def last_pass(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, least: np.n
             r, q = np.nonzero((s >= least) & (own[:, None] != ids))
             new = pd.DataFrame({"q": q, "vec_id": own[r], "score": s[r, q]})
             best = new if best is None else pd.concat([best, new])
-            best = best.sort_values(["q", "score", "vec_id"], ascending=[True, False, True], kind="stable").groupby("q").head(k)
+            best = best.sort_values(["q", "score", "vec_id"], ascending=[True, False, True]).groupby("q").head(k)
         if best is not None:
-            yield pa.record_batch([pa.array(ids[best.q.to_numpy()]), pa.array(best.vec_id.to_numpy()), pa.array(best.score.to_numpy())], names=["query_id", "vec_id", "score"])
+            # digits of one width, of which the larger number has the larger text
+            exact = pa.array([str(10**DIGITS + x) if least.dtype == object else None for x in best.score.tolist()], pa.string())
+            yield pa.record_batch([pa.array(ids[best.q.to_numpy()]), pa.array(best.vec_id.to_numpy()), pa.array([max(-LONG - 1, min(LONG, x)) for x in best.score.tolist()], pa.int64()), exact], names=["query_id", "vec_id", "score", "exact"])
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long, exact string")
 
 
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the queries, the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = written(quantised(vectors, id_col, vector_col, scale), "vectors")
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
-    dims = [r.d for r in asked.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
-    parts = []
-    for dim in dims:
-        same = written(asked.where(F.size("v") == dim).orderBy("id"), "queries")
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0).distinct()
+    found = None
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.max(F.array_max(F.transform("v", F.abs))).alias("peak")).orderBy("d").collect()
+    for dim, peak in sizes:
+        same = written(asked.where(F.size("v") == dim), "queries")
         block, last = max(1, BLOCK_BYTES // (8 * dim)), None
         while True:
-            taken = (same if last is None else same.where(F.col("id") > last)).orderBy("id").limit(block).toPandas()
-            if not len(taken):
+            after = F.lit(True) if last is None else (F.col("id") > last[0]) | ((F.col("id") == last[0]) & (F.col("v") > F.array(*map(F.lit, last[1]))))
+            taken = same.where(after).orderBy("id", "v").limit(block).collect()
+            if not taken:
                 break
-            ids = taken.id.to_numpy(np.int64)
-            last = int(ids[-1])
-            block_vectors = np.array(taken.v.tolist(), np.float64)
-            least = thresholds(rows, ids, block_vectors, k)
-            parts.append(written(last_pass(rows, ids, block_vectors, least, k), "best"))
+            last = taken[-1]
+            ids, block_vectors = np.array([r.id for r in taken], np.int64), np.array([r.v for r in taken], np.float64)
+            bound = score_bound(block_vectors, peak)
+            if bound >= 1 << 53:
+                block_vectors = whole(block_vectors, np.int64 if bound < 1 << 62 else object)
+            least = thresholds(rows, ids, block_vectors, k, bound)
+            found = written(last_pass(rows, ids, block_vectors, least, k), "best", found)
             if len(taken) < block:
                 break
-    if not parts:
+        discard(same)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return union.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,16 +5,17 @@ metadata naming the response in WARC-Concurrent-To. Records are gzip members; a
 archive of about ARCHIVE_BYTES (or one larger record), so archives are kept by Spark's own writers in the shared folder.
 
 Assembly: records read back are indexed in a narrow table; requests and metadata are joined to responses through their
-concurrent-to identifiers (either side may name the other), giving one nested row per capture. Payloads are not
-shuffled: digests and lengths are taken where a record is read.
+concurrent-to identifiers (either side may name the other), giving one nested row per capture. After writing, payloads are
+not shuffled: digests and lengths are taken where a record is read. Before, pages meet the repeated payloads' digests: a
+broadcast while these are few, else one shuffle by digest, whose skew adaptive execution splits.
 
 Revisits: of records with equal payloads of MIN_REVISIT bytes or more the one with the smallest page id is the
 response, the others revisit it, without a payload of their own; reading resolves them by their payload digest.
 
 Defined results: a null html is an empty payload; null or empty urls are empty target URIs; a null page id has no
 number in its metadata and comes back null, and is a revisit where a numbered page has its payload; repeated rows are
-captures of their own; an empty table gives no capture; records that are cut off or malformed end their archive's
-reading without failing the job. Other columns are not read.
+captures of their own; an empty table gives no capture; pages of any length are one record. A damaged record is a record of
+type 'error' that says why; reading goes on at the next intact one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -116,45 +117,78 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return written(with_first(pages, id_col, url_col, html_col).mapInArrow(run, "archive string, content binary"), "archives")
 
 
-def read_records(content: bytes) -> Iterator[tuple[int, dict[str, list[str]], bytes]]:
-    """(offset, headers by lower-case name, block) of each record of a gzip or plain archive."""
-    at = 0
-    view = memoryview(content)
+STEP = 1 << 16
+
+
+def unpacked(view: memoryview, at: int) -> tuple[bytes, int]:
+    """A gzip member's contents and its end, read in bounded steps; ValueError if it is damaged."""
+    unpacker, out = zlib.decompressobj(31), []
+    try:
+        while not unpacker.eof:
+            if at >= len(view):
+                raise ValueError("cut off")
+            out.append(unpacker.decompress(view[at : at + STEP]))
+            at += STEP
+    except zlib.error as error:
+        raise ValueError("damaged compression") from error
+    return b"".join(out), min(at, len(view)) - len(unpacker.unused_data)
+
+
+def one_record(content: bytes, view: memoryview, at: int) -> tuple[int, dict[str, list[str]], bytes]:
+    """(end, headers by lower-case name, block) of the record at a place of a gzip or plain archive; ValueError if there
+    is none."""
+    packed = content[at : at + 2] == b"\x1f\x8b"
+    raw, end = unpacked(view, at) if packed else (content, 0)
+    start = 0 if packed else at
+    head = raw.find(b"\r\n\r\n", start)
+    if head < 0 or raw[start : start + 5] != b"WARC/":
+        raise ValueError("no record")
+    headers: dict[str, list[str]] = {}
+    for line in raw[start:head].decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        headers.setdefault(name.strip().lower(), []).append(value.strip())
+    length = headers.get("content-length", [""])[0]
+    if not length.isascii() or not length.isdigit():
+        raise ValueError("no length")
+    block = raw[head + 4 : head + 4 + int(length)]
+    if len(block) < int(length):
+        raise ValueError("cut off")
+    return end or head + 4 + int(length) + 4, headers, block
+
+
+def read_archive(content: bytes) -> Iterator[tuple[int, dict[str, list[str]], bytes, str | None]]:
+    """(offset, headers, block, error) of each record; of damaged places only the offset and what is wrong."""
+    at, view = 0, memoryview(content)
     while at < len(content):
-        if content[at : at + 2] == b"\x1f\x8b":
-            unpacker = zlib.decompressobj(31)
-            try:
-                raw = unpacker.decompress(view[at:])
-            except zlib.error:
-                return
-            if not unpacker.eof:
-                return
-            end = len(content) - len(unpacker.unused_data)
-            head = raw.find(b"\r\n\r\n")
-            start = 0
-        else:
-            raw, start = content, at
-            head = content.find(b"\r\n\r\n", at)
-            end = 0
-        if head < 0 or not raw[start : start + 5] == b"WARC/":
-            return
-        headers: dict[str, list[str]] = {}
-        for line in raw[start:head].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            headers.setdefault(name.strip().lower(), []).append(value.strip())
         try:
-            n = int(headers["content-length"][0])
-        except (KeyError, ValueError):
-            return
-        block = raw[head + 4 : head + 4 + n]
-        if len(block) < n:
-            return
-        yield at, headers, block
-        at = end or head + 4 + n + 4
+            end, headers, block = one_record(content, view, at)
+            yield at, headers, block, None
+            at = end
+        except ValueError as error:
+            yield at, {}, b"", str(error)
+            # the next place that a record could begin at
+            found = [x for x in (content.find(b"\x1f\x8b\x08", at + 1), content.find(b"WARC/1.", at + 1)) if x >= 0]
+            while found and not intact(content, view, min(found)):
+                x = min(found)
+                found = [y for y in (content.find(b"\x1f\x8b\x08", x + 1), content.find(b"WARC/1.", x + 1)) if y >= 0]
+            at = min(found, default=len(content))
+
+
+def intact(content: bytes, view: memoryview, at: int) -> bool:
+    try:
+        one_record(content, view, at)
+    except ValueError:
+        return False
+    return True
+
+
+def read_records(content: bytes) -> Iterator[tuple[int, dict[str, list[str]], bytes]]:
+    """(offset, headers by lower-case name, block) of each intact record of a gzip or plain archive."""
+    return ((at, headers, block) for at, headers, block, error in read_archive(content) if error is None)
 
 
 def parse_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """RECORD_SCHEMA of all records but warcinfo; payloads only if asked for."""
+    """RECORD_SCHEMA of all records but warcinfo; payloads only if asked for. Damaged places are rows of type 'error'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary()]
@@ -162,13 +196,15 @@ def parse_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame
         for whole in batches:
             for name, content in zip(whole.column(0), whole.column(1), strict=True):
                 rows = []
-                for at, head, block in read_records(content.as_py()):
-                    kind = head.get("warc-type", [""])[0]
+                for at, head, block, error in read_archive(content.as_py()):
+                    kind = head.get("warc-type", [""])[0] if error is None else "error"
                     if kind == "warcinfo":
                         continue
                     payload = digest = None
                     fields: list[dict[str, str]] = []
-                    if kind == "metadata":
+                    if error is not None:
+                        fields = [{"name": "error", "value": error}]
+                    elif kind == "metadata":
                         fields = [{"name": k.strip(), "value": v.strip()} for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if x)]
                     elif kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
