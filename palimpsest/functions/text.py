@@ -130,7 +130,7 @@ def neutral_name(kind: str, value: Column, digits: int) -> Column:
 
 #: Word elements that record a tracked change (fixed values).
 REVISION_NAMES = (
-    "ins", "del", "delText", "delInstrText", "moveFromRangeStart", "moveFromRangeEnd", "moveToRangeStart", "moveToRangeEnd", "conflictIns", "conflictDel",
+    "ins", "del", "delText", "delInstrText", "moveFrom", "moveTo", "moveFromRangeStart", "moveFromRangeEnd", "moveToRangeStart", "moveToRangeEnd", "conflictIns", "conflictDel",
     "customXmlInsRangeStart", "customXmlInsRangeEnd", "customXmlDelRangeStart", "customXmlDelRangeEnd", "customXmlMoveFromRangeStart", "customXmlMoveFromRangeEnd",
     "customXmlMoveToRangeStart", "customXmlMoveToRangeEnd", "customXmlConflictInsRangeStart", "customXmlConflictInsRangeEnd", "customXmlConflictDelRangeStart",
     "customXmlConflictDelRangeEnd", "pPrChange", "rPrChange", "sectPrChange", "tblPrChange", "tblPrExChange", "tblGridChange", "trPrChange", "tcPrChange",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from palimpsest.functions.text import REVISION_NAMES
 from palimpsest.operators.office import Node, Package, nodes_of
-from palimpsest.sources.opc import A, PackageError, W, _map, read_parts
+from palimpsest.sources.opc import A, PackageError, W, _map, problem_of, read_parts
 
 FALSE = ("0", "false", "off")
 LABEL_LIST = "labelList"
@@ -94,8 +94,8 @@ def inspected(source: str, raw: bytes) -> tuple:
             any(p.startswith(MERGE_BLOCKERS) or p == "xl/connections.xml" for p in parts), any(n.name == "workbookPr" and n.attrs.get("date1904", "0") in ("1", "true") for n in book),
             " | ".join(labels_of(package)), None,
         )
-    except PackageError as error:
-        return source, *empty, str(error)
+    except Exception as error:  # parsers meet files of any kind
+        return source, *empty, problem_of(error)
 
 
 def stats_of(documents: DataFrame) -> DataFrame:

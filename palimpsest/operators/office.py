@@ -17,20 +17,22 @@ from pyspark.sql import DataFrame
 
 from palimpsest.functions.keywords import longest_first, normalize
 from palimpsest.functions.text import REVISION_NAMES
-from palimpsest.sources.opc import A, PackageError, RUNS, S, W, _map, read_parts, write_package
+from palimpsest.sources.opc import A, PackageError, RUNS, S, W, _map, problem_of, read_parts, write_package
 
 START_TAG = re.compile(rb"<[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>")
 #: Parts that pruning may delete (fixed values).
-PRUNABLE = ("ppt/slideMasters/", "ppt/slideLayouts/", "ppt/theme/", "ppt/media/", "ppt/embeddings/", "ppt/tags/")
+PRUNABLE = ("ppt/slideMasters/", "ppt/slideLayouts/", "ppt/theme/", "ppt/media/")
+MAIN = (("Word", "word/document.xml"), ("PowerPoint", "ppt/presentation.xml"), ("Excel", "xl/workbook.xml"))
 COMMENT_KINDS = ("comments", "commentsextended", "commentsids", "commentsextensible")
 ANCHORS = ("commentReference", "commentRangeStart", "commentRangeEnd")
 RESULT_SCHEMA = "source string, content binary, edits int, removed int, error string"
 
 
 class Node:
-    __slots__ = ("attrs", "begin", "children", "close", "end", "inner", "name", "ns", "parent", "text")
+    __slots__ = ("attrs", "begin", "children", "close", "end", "inner", "name", "ns", "parent", "prefix", "text")
 
-    def __init__(self, ns: str, name: str, attrs: dict[str, str], begin: int, inner: int, parent: Node | None):
+    def __init__(self, ns: str, name: str, attrs: dict[str, str], begin: int, inner: int, parent: Node | None, prefix: str = ""):
+        self.prefix = prefix
         self.ns, self.name, self.attrs, self.begin, self.inner, self.parent = ns, name, attrs, begin, inner, parent
         self.close = self.end = inner
         self.text, self.children = "", []
@@ -42,6 +44,12 @@ class Node:
             node = node.parent
 
 
+def named(tag: str) -> tuple[str, str, str]:
+    """(namespace, local name, prefix) of a parser's name."""
+    parts = tag.split("}")
+    return ("", parts[0], "") if len(parts) == 1 else (parts[0], parts[1], parts[2] if len(parts) > 2 else "")
+
+
 def nodes_of(payload: bytes) -> list[Node]:
     """Elements in document order, with their places in ``payload``."""
     if b"<!DOCTYPE" in payload.upper() or payload[:2] in (b"\xff\xfe", b"\xfe\xff"):
@@ -49,11 +57,13 @@ def nodes_of(payload: bytes) -> list[Node]:
     found: list[Node] = []
     stack: list[Node] = []
     parser = expat.ParserCreate(namespace_separator="}")
+    parser.namespace_prefixes = True
 
     def start(tag: str, attrs: dict[str, str]) -> None:
-        ns, _, name = tag.rpartition("}")
+        ns, name, prefix = named(tag)
         at = parser.CurrentByteIndex
-        node = Node(ns, name, attrs, at, START_TAG.match(payload, at).end(), stack[-1] if stack else None)
+        own = {(f"{space}}}{local}" if space else local): v for (space, local, _), v in zip(map(named, attrs), attrs.values(), strict=True)}
+        node = Node(ns, name, own, at, START_TAG.match(payload, at).end(), stack[-1] if stack else None, prefix)
         if stack:
             stack[-1].children.append(node)
         found.append(node)
@@ -199,6 +209,22 @@ class Package:
             raise PackageError("a protected part would go")
         self.delete(rest)
 
+    def main(self) -> tuple[str, str]:
+        """(kind, main part)."""
+        return next(((k, p) for k, p in MAIN if p in self.parts), ("", ""))
+
+    def refuse_unfit(self) -> None:
+        """Strict formats, ActiveX and external objects are not edited."""
+        kind, main = self.main()
+        root = nodes_of(self.parts[main])[0] if kind else None
+        if root is None or root.ns.startswith("http://purl.oclc.org/"):
+            raise PackageError("strict or unknown format")
+        if any("/activex/" in p.lower() for p in self.parts):
+            raise PackageError("ActiveX")
+        links = [n for p in self.parts if p.endswith(".rels") for n in nodes_of(self.parts[p])]
+        if any(n.attrs.get("TargetMode") == "External" and not n.attrs.get("Type", "").endswith("/hyperlink") for n in links):
+            raise PackageError("external objects")
+
     # edits -----------------------------------------------------------------------------------------------------------
 
     def clean_texts(self, pattern: re.Pattern, block: bool) -> None:
@@ -231,7 +257,9 @@ class Package:
             closed = any(n.name == "sheetProtection" for n in nodes)
             for c in (n for n in nodes if n.ns == S and n.name == "c"):
                 v, kind = next((k for k in c.children if k.name == "v"), None), c.attrs.get("t")
-                index = int(v.text) if kind == "s" and v is not None else None
+                index = int(v.text) if kind == "s" and v is not None and v.text.strip().isdigit() else None
+                if kind == "s" and v is not None and (index is None or index >= len(shared)):
+                    raise PackageError("no such shared string")
                 texts = [shared[index][0]] if index is not None else [t.text for t in _below(c, "t")] if kind == "inlineStr" else [v.text] if kind == "str" and v is not None else []
                 formula = any(k.name == "f" for k in c.children)
                 wanted = refs is None or (part, c.attrs.get("r", "")) in refs
@@ -375,8 +403,8 @@ def edit_packages(documents: DataFrame, work: Callable[[Package, str], None]) ->
             if bad:
                 raise PackageError("; ".join(bad))
             yield source, package.raw(), package.edits, package.removed, None
-        except PackageError as error:
-            yield source, None, 0, 0, str(error)
+        except Exception as error:  # parsers meet files of any kind; one of them must not end the job
+            yield source, None, 0, 0, problem_of(error)
 
     return _map(documents.select("source", "content"), RESULT_SCHEMA, make)
 
@@ -387,6 +415,7 @@ def clean_packages(documents: DataFrame, words: list[str], block: bool = False,
 
     def work(package: Package, source: str) -> None:
         pattern = pattern_of(words)
+        package.refuse_unfit()
         if any(n.name == "documentProtection" and n.attrs.get(f"{W}}}enforcement", "1").lower() not in ("0", "false", "off") for n in nodes_of(package.parts.get("word/settings.xml", b"<a/>"))):
             raise PackageError("protected against editing")
         if any(n.name == "workbookProtection" for n in nodes_of(package.parts.get("xl/workbook.xml", b"<a/>"))):

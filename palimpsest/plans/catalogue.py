@@ -412,10 +412,10 @@ def q37_base_label_and_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.base_and_conflict(decks, ["c_nationkey"], "c_custkey", "label")
 
 
-_FILES = [(1, "1.pptx", False), (2, "word.docx", True), (3, "2.pptx", False), (4, "book.xlsx", False), (5, "extra.pdf", False), (6, "old.RTF", False), (7, "two.xls", True)]
+_FILES = [(1, "deck.pptx", False), (2, "minutes.docx", True), (3, "talk.pptx", False), (4, "sums.xlsx", False), (5, "plan.pdf", False), (6, "letter.RTF", False), (7, "ledger.xls", True)]
 
 
-@query("""WITH f AS (SELECT * FROM (VALUES (1, '1.pptx', false), (2, 'word.docx', true), (3, '2.pptx', false), (4, 'book.xlsx', false), (5, 'extra.pdf', false), (6, 'old.RTF', false), (7, 'two.xls', true)) v(ord, path, kw)),
+@query("""WITH f AS (SELECT * FROM (VALUES (1, 'deck.pptx', false), (2, 'minutes.docx', true), (3, 'talk.pptx', false), (4, 'sums.xlsx', false), (5, 'plan.pdf', false), (6, 'letter.RTF', false), (7, 'ledger.xls', true)) v(ord, path, kw)),
 k AS (SELECT *, CASE WHEN regexp_matches(lower(path), '\\.(pptx|ppt|pps)$') THEN 'PowerPoint' WHEN regexp_matches(lower(path), '\\.(docx|doc|rtf)$') THEN 'Word' WHEN regexp_matches(lower(path), '\\.(xlsx|xls)$') THEN 'Excel' ELSE '' END AS kind FROM f),
 g AS (SELECT *, kind = 'PowerPoint' AND count(*) OVER (PARTITION BY kind) >= 2 AS merged, min(ord) OVER (PARTITION BY kind) AS first_ord FROM k)
 SELECT CAST(ord AS BIGINT) AS ord, path, kind, CASE WHEN merged AND ord = first_ord THEN 'merge' WHEN merged THEN 'member' WHEN kind <> '' AND (kind = 'Word' OR kw) THEN 'single' ELSE 'skipped' END AS role,
@@ -469,11 +469,11 @@ def q44_comment_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_NAMES = ["ins", "del", "p", "rPrChange", "moveFromRangeStart", "cellMerge", "delText", "t", "customXmlInsRangeEnd", "insert", "conflictDel", "Change"]
+_NAMES = ["ins", "del", "p", "rPrChange", "moveFromRangeStart", "cellMerge", "delText", "t", "customXmlInsRangeEnd", "insert", "conflictDel", "Change", "moveFrom", "moveTo", "move"]
 
 
-@query("""SELECT CAST(i AS BIGINT) AS i, name, name IN ('ins', 'del', 'rPrChange', 'moveFromRangeStart', 'cellMerge', 'delText', 'customXmlInsRangeEnd', 'conflictDel') AS revision FROM (
-  SELECT unnest(['ins', 'del', 'p', 'rPrChange', 'moveFromRangeStart', 'cellMerge', 'delText', 't', 'customXmlInsRangeEnd', 'insert', 'conflictDel', 'Change']) AS name, unnest(range(12)) AS i)""")
+@query("""SELECT CAST(i AS BIGINT) AS i, name, name IN ('ins', 'del', 'rPrChange', 'moveFromRangeStart', 'cellMerge', 'delText', 'customXmlInsRangeEnd', 'conflictDel', 'moveFrom', 'moveTo') AS revision FROM (
+  SELECT unnest(['ins', 'del', 'p', 'rPrChange', 'moveFromRangeStart', 'cellMerge', 'delText', 't', 'customXmlInsRangeEnd', 'insert', 'conflictDel', 'Change', 'moveFrom', 'moveTo', 'move']) AS name, unnest(range(15)) AS i)""")
 def q45_revision_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(_NAMES)), "i long, name string").withColumn("revision", tx.is_revision(F.col("name")))
 
@@ -643,10 +643,10 @@ def q68_path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # File formats, on generated documents -----------------------------------------------------------------------------------
 
-_ENCODED = ["Confidential 測試\r\n".encode(e) for e in ("utf-8", "utf-8-sig", "cp950")] + ["﻿Confidential 測試\r\n".encode(e) for e in ("utf-16-le", "utf-16-be")] + [b"\xff\xff\xff"]
+_ENCODED = ["Blueberry 藍莓\r\n".encode(e) for e in ("utf-8", "utf-8-sig", "cp950")] + ["﻿Blueberry 藍莓\r\n".encode(e) for e in ("utf-16-le", "utf-16-be")] + [b"\xff\xff\xff"]
 
 
-@query("""SELECT CAST(i AS BIGINT) AS i, encoding, chars FROM (VALUES (0, 'utf-8', 17), (1, 'utf-8-sig', 17), (2, 'cp950', 17), (3, 'utf-16-le', 18), (4, 'utf-16-be', 18), (5, NULL, NULL)) v(i, encoding, chars)""")
+@query("""SELECT CAST(i AS BIGINT) AS i, encoding, chars FROM (VALUES (0, 'utf-8', 14), (1, 'utf-8-sig', 14), (2, 'cp950', 14), (3, 'utf-16-le', 15), (4, 'utf-16-be', 15), (5, NULL, NULL)) v(i, encoding, chars)""")
 def q64_decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(_ENCODED)], "i long, content binary")
     return documents.decode_text(rows, "content").select("i", "encoding", F.length("text").alias("chars"))
@@ -657,11 +657,11 @@ def _files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "source string, content binary")
 
 
-@query("""SELECT * FROM (VALUES ('a.docx', 'word/document.xml', '/document/body/p', 'text', 'Keep Confidential tail', false, 1)) v(source, part, path, kind, text, protected, matches)""")
+@query("""SELECT * FROM (VALUES ('a.docx', 'word/document.xml', '/document/body/p', 'text', 'Ship Blueberry crates', false, 1)) v(source, part, path, kind, text, protected, matches)""")
 def q65_opc_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyword split over runs is found in the paragraph."""
     parts = opc.parts_of(_files(spark).where("source in ('a.docx', 'e.docx')")).where("error is null")
-    pattern = kw.spark_pattern(["Confidential"])
+    pattern = kw.spark_pattern(["Blueberry"])
     return opc.paragraphs(opc.groups_of(parts)).where(F.col("text").rlike(pattern)).withColumn("matches", F.regexp_count("text", F.lit(pattern)))
 
 
@@ -669,15 +669,15 @@ def q65_opc_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q66_eml_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = mail.parts_of(_files(spark).where("source = 'c.eml'"))
     text = F.coalesce("text", F.col("payload").cast("string"), F.lit(""))
-    return parts.select("path", "ctype", "attached", F.regexp_count(text, F.lit(kw.spark_pattern(["Confidential"]))).alias("matches"), (~F.col("attached") & ~F.col("sealed")).alias("cleanable"))
+    return parts.select("path", "ctype", "attached", F.regexp_count(text, F.lit(kw.spark_pattern(["Blueberry"]))).alias("matches"), (~F.col("attached") & ~F.col("sealed")).alias("cleanable"))
 
 
-@query("""SELECT page, op, text, safe, CAST(advance AS DOUBLE) AS advance FROM (VALUES (1, 'Tj', 'Public ab', true, -6083.333333), (1, 'TJ', 'Confidential', true, -8010.0), (1, 'Tj', 'x', false, 0.0)) v(page, op, text, safe, advance)""")
+@query("""SELECT page, op, text, safe, CAST(advance AS DOUBLE) AS advance FROM (VALUES (1, 'Tj', 'Open air', true, -5416.666667), (1, 'TJ', 'Blueberry', true, -6025.0), (1, 'Tj', 'x', false, 0.0)) v(page, op, text, safe, advance)""")
 def q67_pdf_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.items_of(_files(spark).where("source = 'd.pdf'")).select("page", "op", "text", "safe", F.round("advance", 6).alias("advance"))
 
 
-@query("""SELECT * FROM (VALUES ('xl/worksheets/sheet1.xml', 'B1', 's', 'Confidential', NULL), ('xl/worksheets/sheet1.xml', 'C1', 's', 'Confidential', NULL), ('xl/worksheets/sheet1.xml', 'D1', 'n', '3', '1+2')) v(part, ref, kind, value, formula)""")
+@query("""SELECT * FROM (VALUES ('xl/worksheets/sheet1.xml', 'A2', 's', 'Blueberry', NULL), ('xl/worksheets/sheet1.xml', 'B4', 's', 'Blueberry', NULL), ('xl/worksheets/sheet1.xml', 'C5', 'n', '42', '6*7')) v(part, ref, kind, value, formula)""")
 def q69_xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opc.cells_of(_files(spark).where("source = 'b.xlsx'")).select("part", "ref", "kind", "value", "formula")
 
@@ -697,4 +697,4 @@ def q71_package_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT * FROM (VALUES ('a.docx', 2, NULL), ('b.xlsx', 4, NULL), ('e.docx', 0, 'no readable package')) v(source, edits, error)""")
 def q72_clean_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits: two runs of a paragraph; two cells and the two runs of the shared string that no cell uses any more."""
-    return office.clean_packages(_files(spark).where("source in ('a.docx', 'b.xlsx', 'e.docx')"), ["Confidential"]).select("source", "edits", "error")
+    return office.clean_packages(_files(spark).where("source in ('a.docx', 'b.xlsx', 'e.docx')"), ["Blueberry"]).select("source", "edits", "error")

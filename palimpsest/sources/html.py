@@ -114,18 +114,18 @@ class Spans(HTMLParser):
         self._add(raw, unescape(raw))
 
 
-def clean(page: str, pattern: re.Pattern, block: bool = False) -> str:
+def clean(page: str, pattern: re.Pattern, block: bool = False, only: set[int] | None = None) -> str:
     """The page without what matches in a block's joined text (in block mode: without that block's text); tags,
-    attributes, scripts and styles stay as they are."""
+    attributes, scripts and styles stay as they are. only: the blocks that may change."""
     groups: dict[int, list[tuple[int, int, str]]] = {}
     for owner, begin, end, text, code in Spans(page).tokens:
         if not code:
             groups.setdefault(owner, []).append((begin, end, text))
     edits = []
-    for tokens in groups.values():
+    for owner, tokens in groups.items():
         whole = "".join(t for _, _, t in tokens)
         hits = [m.span() for m in pattern.finditer(whole)]
-        if not hits:
+        if not hits or (only is not None and owner not in only):
             continue
         at = 0
         for begin, end, text in tokens:

@@ -75,8 +75,9 @@ def inspected_attachments(parts: DataFrame, suffixes: tuple[str, ...]) -> DataFr
     return parts.where("attached").groupBy("source").agg(fold["out"].alias("o")).select("source", F.explode("o").alias("x")).select("source", "x.path", "x.inspected")
 
 
-def clean(raw: bytes, pattern: re.Pattern, paths: set[str] | None = None, block: bool = False) -> bytes:
-    """The message with keywords gone from the subject, text lines and HTML blocks (of ``paths``, or all).
+def clean(raw: bytes, pattern: re.Pattern, paths: set[str] | None = None, block: bool = False, places: dict[str, set[int]] | None = None) -> bytes:
+    """The message with keywords gone from the subject, text lines and HTML blocks (of ``paths``, or all; places: of
+    a path only these lines or blocks).
 
     Addresses and other parts stay as they are, which is checked. Sealed mail is refused."""
     msg = message(raw)
@@ -92,11 +93,11 @@ def clean(raw: bytes, pattern: re.Pattern, paths: set[str] | None = None, block:
         if not pattern.search(text) and kind == "text/plain":
             continue
         if kind == "text/html":
-            text = html.clean(text, pattern, block)
+            text = html.clean(text, pattern, block, None if places is None else places.get(path, set()))
         else:
             lines = text.splitlines(keepends=True)
             for i, line in enumerate(lines):
-                if pattern.search(line):
+                if pattern.search(line) and (places is None or i in places.get(path, set())):
                     end = "\r\n" if line.endswith("\r\n") else "\n" if line.endswith("\n") else ""
                     lines[i] = ("" if block else pattern.sub("", line).rstrip("\r\n")) + end
             text = "".join(lines)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ENTRIES, MAX_BYTES = 25_000, 600 << 20
+#: Bytes of the rows that are made before they go on.
+BATCH_BYTES = 8 << 20
 #: Namespaces (fixed values).
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 A = "http://schemas.openxmlformats.org/drawingml/2006/main"
@@ -25,15 +27,20 @@ RELATIONSHIPS = "http://schemas.openxmlformats.org/package/2006/relationships"
 RUNS = {"t": "text", "delText": "deleted", "instrText": "field"}
 
 PARTS_SCHEMA = "source string, ord int, part string, payload binary, error string"
-RELS_SCHEMA = "source string, owner string, rid string, type string, target string, external boolean"
-GROUPS_SCHEMA = "source string, part string, path string, kind string, ord int, text string, protected boolean"
-CELLS_SCHEMA = "source string, part string, ord int, ref string, kind string, value string, formula string, sheet_protected boolean"
+RELS_SCHEMA = "source string, owner string, rid string, type string, target string, external boolean, error string"
+GROUPS_SCHEMA = "source string, part string, path string, kind string, ord int, text string, protected boolean, error string"
+CELLS_SCHEMA = "source string, part string, ord int, ref string, kind string, value string, formula string, sheet_protected boolean, error string"
 
 
 class PackageError(ValueError):
     """A package that is not read; becomes an error row."""
 
 
+def problem_of(error: Exception) -> str:
+    """An error row's message."""
+    return str(error) if isinstance(error, PackageError) else f"{type(error).__name__}: {error}"
+
+
 def read_parts(raw: bytes) -> list[tuple[str, bytes]]:
     """Parts in their order, behind the guards against bombs, duplicates, encryption and odd paths."""
     try:
@@ -141,14 +148,26 @@ def sheet_cells(payload: bytes, shared: list[str]) -> Iterator[tuple[int, str, s
 
 
 def _map(df: DataFrame, schema: str, make: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """Rows made from each row of ``df``, in batches."""
+    """Rows made from each row of ``df``, in batches of bounded rows and bytes: one input row can make very many."""
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(columns))], names=columns)
+
         for b in batches:
-            rows = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in make(*row)]
-            for i in range(0, len(rows), 1024):
-                yield pa.record_batch([pa.array([r[k] for r in rows[i : i + 1024]], kinds[k]) for k in range(len(columns))], names=columns)
+            for i in range(b.num_rows):
+                for r in make(*(c[i].as_py() for c in b.columns)):
+                    rows.append(r)
+                    size += sum(len(v) for v in r if isinstance(v, str | bytes))
+                    if len(rows) >= 1024 or size >= BATCH_BYTES:
+                        yield batch()
+                        rows, size = [], 0
+        if rows:
+            yield batch()
 
     simple = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     kinds = [simple[c.strip().split(" ")[1]] for c in schema.split(",")]
@@ -174,8 +193,11 @@ def rels_of(parts: DataFrame) -> DataFrame:
     def make(source: str, part: str, payload: bytes) -> Iterator[tuple]:
         folder, _, name = part.rpartition("/")
         owner = (folder.removesuffix("_rels").rstrip("/") + "/" + name.removesuffix(".rels")).lstrip("/") if part != "_rels/.rels" else ""
-        for e in parse(payload):
-            yield source, owner, e.get("Id"), e.get("Type"), e.get("Target"), e.get("TargetMode") == "External"
+        try:
+            for e in parse(payload):
+                yield source, owner, e.get("Id"), e.get("Type"), e.get("Target"), e.get("TargetMode") == "External", None
+        except PackageError as error:
+            yield source, owner, None, None, None, None, str(error)
 
     return _map(parts.where(F.col("part").endswith(".rels")).select("source", "part", "payload"), RELS_SCHEMA, make)
 
@@ -184,8 +206,11 @@ def groups_of(parts: DataFrame) -> DataFrame:
     """GROUPS_SCHEMA: one row a run; paragraphs are put together by ``paragraphs``."""
 
     def make(source: str, part: str, payload: bytes) -> Iterator[tuple]:
-        for path, kind, n, text, protected in text_groups(part, payload):
-            yield source, part, path, kind, n, text, protected
+        try:
+            for path, kind, n, text, protected in text_groups(part, payload):
+                yield source, part, path, kind, n, text, protected, None
+        except PackageError as error:
+            yield source, part, None, None, None, None, None, str(error)
 
     return _map(parts.where(F.col("part").endswith(".xml")).select("source", "part", "payload"), GROUPS_SCHEMA, make)
 
@@ -193,19 +218,22 @@ def groups_of(parts: DataFrame) -> DataFrame:
 def paragraphs(groups: DataFrame) -> DataFrame:
     """source, part, path, kind, text, protected: runs of a paragraph joined in their order."""
     runs = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return groups.groupBy("source", "part", "path", "kind").agg(F.array_join(F.transform(runs, lambda r: r["text"]), "").alias("text"), F.bool_or("protected").alias("protected"))
+    return groups.where("error is null").groupBy("source", "part", "path", "kind").agg(F.array_join(F.transform(runs, lambda r: r["text"]), "").alias("text"), F.bool_or("protected").alias("protected"))
 
 
 def cells_of(documents: DataFrame) -> DataFrame:
     """CELLS_SCHEMA from source, content."""
 
     def make(source: str, content: bytes) -> Iterator[tuple]:
-        parts = dict(read_parts(content))
-        shared = shared_strings(parts)
-        for name, payload in parts.items():
-            if re.fullmatch(r"xl/worksheets/[^/]+\.xml", name):
-                for row in sheet_cells(payload, shared):
-                    yield source, name, *row
+        try:
+            parts = dict(read_parts(content or b""))
+            shared = shared_strings(parts)
+            for name, payload in parts.items():
+                if re.fullmatch(r"xl/worksheets/[^/]+\.xml", name):
+                    for row in sheet_cells(payload, shared):
+                        yield source, name, *row, None
+        except PackageError as error:
+            yield source, *(None,) * 7, str(error)
 
     return _map(documents.select("source", "content"), CELLS_SCHEMA, make)
 

@@ -110,6 +110,78 @@ def text_items(content: bytes, fonts: dict[str, tuple[int, list[float]] | None])
         idx += 1
 
 
+def text_of(token: bytes) -> str:
+    """A string object as text: UTF-16 with its mark, else one byte a character."""
+    raw = unescape(token)
+    return raw.decode("utf-16", "replace") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else raw.decode("cp1252", "replace")
+
+
+def pages_of(objs: dict[int, bytes]) -> list[bytes]:
+    """Page objects in the order of their numbers."""
+    return [b for _, b in sorted(objs.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)]
+
+
+def page_items(page: bytes, objs: dict[int, bytes]) -> Iterator[tuple[int, str, str, bool, float]]:
+    streams = [stream_of(objs.get(r, b"")) for r in refs(page, rb"/Contents")]
+    return text_items(b"\n".join(s for s in streams if s), fonts_of(page, objs))
+
+
+def strings_of(body: bytes, keys: str) -> list[tuple[str, bytes, int, int]]:
+    """(key, token, begin, end) of the string values of a dictionary's ``keys`` (a pattern)."""
+    return [(m[1].decode("latin1"), m[2], m.start(2), m.end(2)) for m in re.finditer(rb"/(%s)\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)" % keys.encode(), body, re.S)]
+
+
+def info_number(raw: bytes) -> int | None:
+    found = re.findall(rb"/Info\s+(\d+)\s+\d+\s+R", raw)
+    return int(found[-1]) if found else None
+
+
+def properties_of(raw: bytes, objs: dict[int, bytes]) -> dict[str, str]:
+    return {k: text_of(t) for k, t, _, _ in strings_of(objs.get(info_number(raw) or -1, b""), r"[A-Za-z0-9_.\-]+")}
+
+
+def annotations_of(page: bytes, objs: dict[int, bytes]) -> Iterator[tuple[int, str, str]]:
+    """(place, key, text) of a page's annotations: contents, title and subject."""
+    listed = re.search(rb"/Annots\s*(?:\[([^\]]*)\]|(\d+)\s+\d+\s+R)", page)
+    if listed is None:
+        return
+    whole = listed[1] if listed[1] is not None else objs.get(int(listed[2]), b"")
+    for j, number in enumerate(re.findall(rb"(\d+)\s+\d+\s+R", whole)):
+        for key, token, _, _ in strings_of(objs.get(int(number), b""), "Contents|T|Subj"):
+            yield j, key, text_of(token)
+
+
+def xmp_of(objs: dict[int, bytes]) -> list[str]:
+    bodies = [b for b in objs.values() if re.search(rb"/Type\s*/Metadata\b", b)]
+    return [(stream_of(b) or b"").decode("utf-8", "replace") for b in bodies]
+
+
+def protected(raw: bytes, objs: dict[int, bytes]) -> bool:
+    """Encrypted, signed or labelled: scanned, never changed."""
+    labels = any(re.search("msip_label_|mip_label_|sensitivity", x, re.I) for x in xmp_of(objs))
+    return bool(PROTECTED.search(raw)) or labels or any("msip_label_" in k.lower() for k in properties_of(raw, objs))
+
+
+def boxes_of(objs: dict[int, bytes]) -> list[tuple[bytes, ...]]:
+    """Sizes and turns of the pages: what cleaning must not change, nor their number."""
+    return [tuple(m[0] if (m := re.search(rb"/%s\s*(?:\[[^\]]*\]|-?\d+)" % k, p)) else b"" for k in (b"MediaBox", b"CropBox", b"Rotate")) for p in pages_of(objs)]
+
+
+def clean_properties(raw: bytes, pattern: re.Pattern, keys: set[str]) -> bytes:
+    """The file with keywords gone from those properties."""
+    objs, number = objects(raw), info_number(raw)
+    if protected(raw, objs):
+        raise ValueError("protected, signed or encrypted")
+    body = objs.get(number or -1, b"")
+    for key, token, begin, end in reversed(strings_of(body, r"[A-Za-z0-9_.\-]+")):
+        if key in keys:
+            new = pattern.sub("", text_of(token))
+            body = body[:begin] + b"<" + (b"\xfe\xff" + new.encode("utf-16-be")).hex().encode() + b">" + body[end:]
+    if number is not None:
+        objs[number] = body
+    return assembled(objs, raw)
+
+
 def items_of(documents: DataFrame) -> DataFrame:
     """ITEMS_SCHEMA from source, content."""
 

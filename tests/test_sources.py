@@ -14,7 +14,7 @@ from palimpsest.streaming import dropfolder
 
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16-le", "utf-16-be", "cp950"])
 def test_decoding(encoding):
-    body = "Confidential 測試\r\nKeep\r\n"
+    body = "Blueberry 藍莓\r\nPears\r\n"
     raw = ("﻿" + body if "16" in encoding else body).encode(encoding)
     text, found = documents.decode_bytes(raw)
     assert found == encoding and text.lstrip("﻿") == body
@@ -56,12 +56,12 @@ def test_relationships(spark):
 
 
 def test_mail_clean_keeps_the_rest():
-    out = mail.clean(fixtures.EML, re.compile("confidential", re.I))
+    out = mail.clean(fixtures.EML, re.compile("blueberry", re.I))
     msg = mail.message(out)
-    assert str(msg["Subject"]) == "Test " and msg["From"] == "a@example.org"
+    assert str(msg["Subject"]) == "Picking " and msg["From"] == "orchard@example.org"
     parts = {p: x for p, x, _ in mail.walk(msg)}
-    assert parts["0.0"].get_content().splitlines() == [" notice", "Keep"]
-    assert b"Confidential review" in parts["0.1"].get_payload(decode=True)
+    assert parts["0.0"].get_content().splitlines() == [" rows", "Pears"]
+    assert b"Blueberry trays" in parts["0.1"].get_payload(decode=True)
     with pytest.raises(ValueError):
         mail.clean(b"DKIM-Signature: x\r\n" + fixtures.EML, re.compile("x"))
 
@@ -73,12 +73,12 @@ def test_attachment_budget(spark):
 
 
 def test_html_slots():
-    rows = html.slots('<p id="x">Confi<b>den<i>tial</i></b> note</p><script>Draft</script>')
+    rows = html.slots('<p id="x">Blue<b>ber<i>ry</i></b> note</p><script>Draft</script>')
     blocks = {}
     for block, _, kind, _, text in rows:
         if kind == "text":
             blocks.setdefault(block, []).append(text)
-    assert "Confidential note" in map("".join, blocks.values())
+    assert "Blueberry note" in map("".join, blocks.values())
     assert ("code", "Draft") in {(k, t) for _, _, k, _, t in rows}
 
 
@@ -134,19 +134,19 @@ def test_summary(spark):
 
 
 def test_html_clean():
-    word = re.compile("confidential", re.I)
-    page = '<p title="Confidential">Confi<b><i>dential</i></b> &amp; n&#111;te</p><script>Confidential</script><p>keep</p>'
-    assert html.clean(page, word) == '<p title="Confidential"><b><i></i></b> &amp; n&#111;te</p><script>Confidential</script><p>keep</p>'
-    assert html.clean(page, word, block=True) == '<p title="Confidential"><b><i></i></b></p><script>Confidential</script><p>keep</p>'
-    assert html.clean("<p>a&lt;confidential&gt;</p>", word) == "<p>a&lt;&gt;</p>"
+    word = re.compile("blueberry", re.I)
+    page = '<p title="Blueberry">Blue<b><i>berry</i></b> &amp; n&#111;te</p><script>Blueberry</script><p>keep</p>'
+    assert html.clean(page, word) == '<p title="Blueberry"><b><i></i></b> &amp; n&#111;te</p><script>Blueberry</script><p>keep</p>'
+    assert html.clean(page, word, block=True) == '<p title="Blueberry"><b><i></i></b></p><script>Blueberry</script><p>keep</p>'
+    assert html.clean("<p>a&lt;blueberry&gt;</p>", word) == "<p>a&lt;&gt;</p>"
 
 
 def test_pdf_clean():
-    word = re.compile("confidential", re.I)
+    word = re.compile("blueberry", re.I)
     out = pdf.clean(fixtures.pdf(), word)
     objs = pdf.objects(out)
     stream = pdf.stream_of(objs[4])
-    assert b"[-8010.000000] TJ" in stream and b"(Public ab) Tj" in stream and b"dential" not in stream
+    assert b"[-6025.000000] TJ" in stream and b"(Open air) Tj" in stream and b"berry" not in stream
     assert int(re.search(rb"startxref\n(\d+)", out)[1]) == out.index(b"xref\n0 ")
     with pytest.raises(ValueError, match="safe"):
         pdf.clean(fixtures.pdf(), re.compile("^x$"))
@@ -155,6 +155,6 @@ def test_pdf_clean():
 
 
 def test_mail_html_part():
-    raw = b"Subject: s\r\nMIME-Version: 1.0\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>Confi<b>dential</b> note</p>\r\n"
-    out = mail.message(mail.clean(raw, re.compile("confidential", re.I)))
+    raw = b"Subject: s\r\nMIME-Version: 1.0\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>Blue<b>berry</b> note</p>\r\n"
+    out = mail.message(mail.clean(raw, re.compile("blueberry", re.I)))
     assert out.get_content().strip() == "<p><b></b> note</p>"
