@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import keywords as kw
 from palimpsest.functions import text as tx
-from palimpsest.operators import graph, inspect, merge, office, redact, scan, verify
+from palimpsest.operators import batch, cleaning, graph, inspect, merge, office, redact, scan, slots, stores, verify
 from palimpsest.plans import fixtures
 from palimpsest.sources import documents, mail, opc, pdf
 from palimpsest.session import table
@@ -698,3 +698,129 @@ def q71_package_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q72_clean_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits: two runs of a paragraph; two cells and the two runs of the shared string that no cell uses any more."""
     return office.clean_packages(_files(spark).where("source in ('a.docx', 'b.xlsx', 'e.docx')"), ["Blueberry"]).select("source", "edits", "error")
+
+
+# All formats at once ----------------------------------------------------------------------------------------------------
+
+_WORDS = ["Blueberry"]
+_KEY = "0123456789ABCDEF0123456789ABCDEF"
+
+
+def _all_files(spark: SparkSession) -> DataFrame:
+    rows = [("a.docx", fixtures.docx()), ("b.xlsx", fixtures.xlsx()), ("c.eml", fixtures.EML), ("d.pdf", fixtures.pdf()), ("e.docx", b"no package"), ("f.txt", b"One\r\nBlueberry pie\r\n"), ("g.json", b'{"a": "blueberry"}'), ("h.docx", fixtures.styled())]
+    return spark.createDataFrame([(n, "." + n.partition(".")[2], bytearray(b)) for n, b in rows], "source string, suffix string, content binary")
+
+
+def _packages(spark: SparkSession, rows: list[tuple[str, bytes]]) -> DataFrame:
+    return spark.createDataFrame([(n, "." + n.partition(".")[2], bytearray(b)) for n, b in rows], "source string, suffix string, content binary")
+
+
+
+
+@query("""WITH v AS (SELECT * FROM (VALUES
+  ('a.docx', 'word/document.xml', '/w:document/w:body/w:p', '文字段落', 'Ship Blueberry crates', 'Word 正文／文字方塊', true, NULL),
+  ('b.xlsx', 'xl/sharedStrings.xml', '0', '共用文字（所有引用，只掃描）', 'Blueberry', 'xl/sharedStrings.xml', false, NULL),
+  ('b.xlsx', 'xl/worksheets/sheet1.xml', 'cell:A2', '儲存格文字', 'Blueberry', 'xl/worksheets/sheet1.xml · A2', true, NULL),
+  ('b.xlsx', 'xl/worksheets/sheet1.xml', 'cell:B4', '儲存格文字', 'Blueberry', 'xl/worksheets/sheet1.xml · B4', true, NULL),
+  ('c.eml', 'email:0.0', '0', '郵件純文字行', 'Blueberry rows' || chr(13) || chr(10), '郵件正文 · 第 1 行', true, NULL),
+  ('c.eml', 'headers', 'Subject', '郵件標題', 'Picking Blueberry', 'headers', true, NULL),
+  ('c.eml', 'text', '1', '文字行', 'forty Blueberry trays', '附件 trays.txt · 第 1 行', false, '0.1'),
+  ('d.pdf', 'page:1', '6', 'PDF 文字區塊（整個刪除）', 'Blueberry', 'PDF 第 1 頁 · 文字區塊 7', true, NULL),
+  ('f.txt', 'text', '2', '文字行', 'Blueberry pie' || chr(13) || chr(10), '第 2 行', true, NULL),
+  ('g.json', 'text', '1', '文字行', '{"a": "blueberry"}', '第 1 行', false, NULL),
+  ('h.docx', 'word/document.xml', '/w:document/w:body/w:p[1]/w:pPr/w:pStyle/@{http://schemas.openxmlformats.org/wordprocessingml/2006/main}val', '內部名稱／屬性', 'BlueberryHead', 'Word 正文／文字方塊', true, NULL),
+  ('h.docx', 'word/document.xml', '/w:document/w:body/w:p[2]/w:r/v:shape/@id', '內部名稱／屬性', 'Blueberry1', 'Word 正文／文字方塊', true, NULL),
+  ('h.docx', 'word/document.xml', '/w:document/w:body/w:p[2]/w:r/v:fill/@link', '內部名稱／屬性', '#Blueberry1', 'Word 正文／文字方塊', false, NULL),
+  ('h.docx', 'word/styles.xml', '/w:styles/w:style[1]/@{http://schemas.openxmlformats.org/wordprocessingml/2006/main}styleId', '內部名稱／屬性', 'BlueberryHead', '樣式／編號設定', true, NULL),
+  ('h.docx', 'word/styles.xml', '/w:styles/w:style[1]/w:name/@{http://schemas.openxmlformats.org/wordprocessingml/2006/main}val', '內部名稱／屬性', 'Blueberry Head', '樣式／編號設定', true, NULL),
+  ('h.docx', 'word/styles.xml', '/w:styles/w:style[2]/w:basedOn/@{http://schemas.openxmlformats.org/wordprocessingml/2006/main}val', '內部名稱／屬性', 'BlueberryHead', '樣式／編號設定', true, NULL)
+) t(source, part, path, category, text, location, cleanable, outer_path)),
+i AS (SELECT *, substring(sha256('[' || to_json(part) || ', ' || to_json(path) || ', ' || to_json(category) || ', ' || to_json(text) || ']'), 1, 24) AS own FROM v)
+SELECT source, CASE WHEN outer_path IS NULL THEN own ELSE substring(sha256(outer_path || own), 1, 24) END AS id, part, path, category, location, cleanable FROM i""")
+def q73_scan_all_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all formats to one table of findings; an attachment's finding has its path in its id and is scan-only."""
+    found, _ = slots.scan_documents(_all_files(spark), _WORDS)
+    return found.select("source", "id", "part", "path", "category", "location", "cleanable")
+
+
+@query("""SELECT * FROM (VALUES ('a.docx', CAST(1 AS BIGINT), CAST(1 AS BIGINT), 'partial'), ('b.xlsx', 3, 3, 'completed'), ('c.eml', 3, 3, 'partial'), ('d.pdf', 1, 1, 'partial'), ('e.docx', 0, 0, 'failed'),
+  ('f.txt', 1, 1, 'completed'), ('g.json', 1, 1, 'completed'), ('h.docx', 6, 6, 'completed')) v(source, findings, match_count, status)""")
+def q74_scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.report(*slots.scan_documents(_all_files(spark), _WORDS))
+
+
+@query("""SELECT * FROM (VALUES ('b.xlsx', 'b.cleaned.xlsx', 1, 2, NULL), ('c.eml', 'c.cleaned.eml', 1, 1, NULL), ('f.txt', 'f.cleaned.txt', 1, 0, NULL), ('g.json', NULL, 0, NULL, 'scan-only format')) v(source, name, changes, matches_left, error)""")
+def q75_clean_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of two cells, a line of a mail but not its subject, a text line; the scan-only selection is refused."""
+    files = _all_files(spark)
+    found, _ = slots.scan_documents(files, _WORDS)
+    chosen = found.where("source in ('b.xlsx', 'c.eml', 'f.txt', 'g.json') AND (cleanable OR source = 'g.json') AND path NOT IN ('cell:B4', 'Subject')")
+    return cleaning.clean_selected(files, _WORDS, chosen.select("source", "id")).select("source", "name", "changes", "matches_left", "error")
+
+
+_W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+
+@query(f"""WITH n AS (SELECT 'CleanStyle_' || substring(sha256('BlueberryHead'), 1, 12) AS style, 'CleanShape_' || substring(sha256('Blueberry1'), 1, 12) AS shape),
+v AS (SELECT 'a.docx' AS source, 'word/document.xml' AS part, '<w:document xmlns:w="{_W}"><w:body><w:p><w:r><w:t>Ship </w:t></w:r><w:r><w:t></w:t></w:r><w:r><w:t></w:t></w:r><w:r><w:t> crates</w:t></w:r></w:p></w:body></w:document>' AS xml
+UNION ALL SELECT 'h.docx', 'word/document.xml', '<w:document xmlns:w="{_W}" xmlns:v="urn:schemas-microsoft-com:vml"><w:body><w:p><w:pPr><w:pStyle w:val="' || style || '"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><v:shape id="' || shape || '"/><v:fill link="#' || shape || '"/></w:r></w:p></w:body></w:document>' FROM n
+UNION ALL SELECT 'h.docx', 'word/styles.xml', '<w:styles xmlns:w="{_W}"><w:style w:styleId="' || style || '"><w:name w:val="Head"/></w:style><w:style w:styleId="Plain"><w:basedOn w:val="' || style || '"/></w:style></w:styles>' FROM n)
+SELECT source, part, 'modified' AS change, sha256(xml) AS digest FROM v""")
+def q76_cleaned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all parts that cleaning changed: texts, and names with all that refers to them."""
+    files = _all_files(spark).where("suffix = '.docx'")
+    cleaned = cleaning.clean_selected(files, _WORDS).where("error is null")
+    after = opc.parts_of(cleaned.select("source", "content"))
+    changed = cleaning.changed_parts(opc.parts_of(files), after)
+    return changed.join(after.select("source", "part", F.sha2("payload", 256).alias("digest")), ["source", "part"])
+
+
+def _stored(spark: SparkSession) -> DataFrame:
+    other = "F" * 32
+    rows = [("1.docx", fixtures.stored(_KEY, "<a>1</a>")), ("2.docx", fixtures.stored(_KEY, "<a >1</a>")), ("3.docx", fixtures.stored(other, "<b/>")), ("4.docx", fixtures.stored("no id", "<b/>")), ("5.docx", fixtures.docx())]
+    return _packages(spark, rows)
+
+
+@query(f"""SELECT * FROM (VALUES ('1.docx', '{_KEY.lower()}', '<a>1</a>', NULL), ('2.docx', '{_KEY.lower()}', '<a>1</a>', NULL), ('3.docx', '{"f" * 32}', '<b></b>', NULL), ('4.docx', NULL, NULL, 'a store without an id')) v(source, id, data, error)""")
+def q77_custom_xml_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores by id, in one spelling of their XML, so that equal ones compare equal."""
+    return stores.read_stores(_stored(spark)).select("source", "id", "data", "error")
+
+
+def _books(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    rows = [("1.xlsx", fixtures.book({"Crop": "apples", "Sums": "total"}, ("Rate",))), ("2.xlsx", fixtures.book({"crop": "pears", "crop (2)": "plums"}, ("Tax",), "INDIRECT(&quot;crop!A1&quot;)")), ("3.xlsx", fixtures.book({"Notes": "none"}, ("RATE",)))]
+    files = spark.createDataFrame([("m", i, f"{i}.xlsx") for i in (1, 2, 3)], "merge string, book long, source string")
+    return files, _packages(spark, rows)
+
+
+@query("""SELECT * FROM (VALUES ('plan', '1.xlsx', 'Crop', 'Crop'), ('plan', '1.xlsx', 'Sums', 'Sums'), ('plan', '2.xlsx', 'crop', 'crop (3)'), ('plan', '2.xlsx', 'crop (2)', 'crop (2)'), ('plan', '3.xlsx', 'Notes', 'Notes'),
+  ('problem', '1.xlsx', 'shared name: rate', NULL), ('problem', '3.xlsx', 'shared name: rate', NULL), ('problem', '2.xlsx', 'formulas name sheets as text', NULL)) v(kind, source, what, planned)""")
+def q78_workbook_merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, documents_ = _books(spark)
+    plan, problems = batch.workbook_plan(files, documents_)
+    named = plan.join(files, ["merge", "book"]).select(F.lit("plan").alias("kind"), "source", F.col("name").alias("what"), "planned")
+    return named.unionByName(problems.select(F.lit("problem").alias("kind"), "source", F.col("problem").alias("what"), F.lit(None).cast("string").alias("planned")))
+
+
+@query("""SELECT * FROM (VALUES ('body', 'bound pears', 'bound apples')) v(what, expected, actual)""")
+def q79_word_merge_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merged document whose body is not that of its sources in order; comments and revisions are as they should be."""
+    sources = _packages(spark, [("1.docx", fixtures.stored(_KEY, "<a/>")), ("2.docx", fixtures.stored(_KEY, "<a/>", "pears"))])
+    files = spark.createDataFrame([("m", 1, "1.docx"), ("m", 2, "2.docx")], "merge string, book long, source string")
+    return batch.word_differences(files, sources, _packages(spark, [("m", fixtures.stored(_KEY, "<a/>", "bound apples"))])).select("what", "expected", "actual")
+
+
+@query("""SELECT * FROM (VALUES (0, 'first', false), (1, 'second', true), (2, 'third', false)) v(ord, notes, hidden)""")
+def q80_slide_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides in the order of the presentation's list, with their notes."""
+    return batch.slide_notes(_packages(spark, [("t.pptx", fixtures.talk(["first", "second", "third"], (1,)))])).select("ord", "notes", "hidden")
+
+
+@query("""SELECT * FROM (VALUES ('[Content_Types].xml', 'modified'), ('docProps/app.xml', 'modified'), ('ppt/_rels/presentation.xml.rels', 'modified'), ('ppt/presentation.xml', 'modified'), ('ppt/notesSlides/notesSlide0.xml', 'deleted'), ('ppt/notesSlides/notesSlide1.xml', 'deleted'),
+  ('ppt/slides/_rels/slide1.xml.rels', 'modified'), ('ppt/slides/_rels/slide2.xml.rels', 'modified'), ('ppt/slideMasters/slideMaster2.xml', 'deleted'), ('ppt/slideMasters/_rels/slideMaster2.xml.rels', 'deleted'), ('ppt/slideLayouts/slideLayout2.xml', 'deleted'),
+  ('ppt/slideLayouts/_rels/slideLayout2.xml.rels', 'deleted'), ('ppt/theme/theme2.xml', 'deleted')) v(part, change)""")
+def q81_prepared_deck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and the template that no slide uses are gone, lists and titles are in line, all else keeps its bytes."""
+    deck = _packages(spark, [("t.pptx", fixtures.talk(["first", "second"]))])
+    out = batch.prepare(deck, notes=True, prune=True).where("error is null")
+    return cleaning.changed_parts(opc.parts_of(deck), opc.parts_of(out)).select("part", "change")
