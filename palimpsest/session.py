@@ -55,16 +55,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{LOCAL_SHARED}"
 
 
-def written(df: DataFrame, label: str, onto: DataFrame | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, onto: DataFrame | None = None, codec: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
-    onto: a table that this function returned; the rows are added to its folder, and all are read back.
+    onto: a table that this function returned; the rows are added to its folder, and all are read back. codec: Parquet's
+    compression, where the session's does not suit.
 
     The folder goes with ``discard``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}/{label}" if onto is None else f"{onto._palimpsest_folder}/{label}"
-    df.write.mode("errorifexists" if onto is None else "append").parquet(path)
+    df.write.mode("errorifexists" if onto is None else "append").parquet(path, compression=codec)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder.getParent())
