@@ -551,7 +551,8 @@ def read_avi(media: DataFrame) -> DataFrame:
 
 def op8_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract columns, then the clips."""
-    stored = written(encode_avi(table(spark, sf_dir, "documents")), "media")
+    # the codes are 9 bits long, which only an entropy coder makes smaller
+    stored = written(encode_avi(table(spark, sf_dir, "documents")), "media", codec="zstd")
     return read_avi(stored)
 
 
