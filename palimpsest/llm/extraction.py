@@ -3,16 +3,17 @@
 A page is cut into blocks: the text between block-level tags, as it stands in the page. A block's features are its word
 count and link density, those of the blocks before and after it, and what its enclosing elements say of themselves
 (navigation, footers, asides, forms, names like "ad" or "comments"; articles, and whether it stands beside one;
-headings). A decision tree, grown by Gini
-impurity on the blocks of a small labelled table of pages (``LABELLED``), says which blocks belong to the article.
+headings). A decision tree, grown by Gini impurity on the blocks of a small labelled table of pages (``LABELLED``), says
+which blocks belong to the article; ties go to the first feature and the smallest threshold. Where elements say nothing of
+themselves it decides by the words and links of a block and of its neighbours.
 
 Scripts, styles, comments, controls (``SKIPPED``) and other markup never reach a block; formulas and fallback texts
 (of objects, canvases, audio, video and noscript) do. Character references are decoded, white space inside a
 block becomes one space, blocks are joined by a blank line.
 
 Defined results: null, empty and textless html gives '' and 0; unclosed elements and comments end with the page (of ``SKIPPED`` only those with an end tag are left out); end tags
-without a start are passed over; repeated rows give the same text; an empty table gives an empty result. Columns other
-than id, url and html are not read.
+without a start are passed over; repeated rows give the same text; pages of any length are read whole; an empty table
+gives an empty result. Columns other than id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert nav navbar "
     "navigation menu breadcrumb breadcrumbs sidebar side rail aside footer foot masthead header topbar comment comments commentlist disqus reply replies respond "
-    "share sharing social related recommended recommendations more newsletter subscribe subscription signup login search widget popup modal overlay pagination pager "
+    "share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget popup modal overlay pagination pager "
     "tags toolbar copyright legal skip complementary contentinfo dialog".split()
 )
 #: Openings of such words.
@@ -98,6 +99,20 @@ LABELLED = (
     '<body><p data-keep>Minutes of the meeting of the third of May, kept by the clerk in the absence of the chair.</p><p data-keep>Present: nine.</p><p data-keep>The clerk read the letter from the county and the council took note of it without a vote.</p>'
     '<p data-keep>The bridge was spoken of.</p><p data-keep>The meeting closed at ten.</p><div class="cookie"><p>This page keeps two small files on your machine, one for the language that you choose and one that says you have read this.</p></div><form><p>Tell us what you '
     "think of this page, in as many words as you need, and leave a number where we can reach you.</p></form></body>",
+    # pages that say nothing of themselves: only words, links and neighbours tell
+    "<body><div>Harbour Gazette</div><div><a href=/>Home</a> <a href=/s>Sport</a> <a href=/l>Letters</a></div><div data-keep>The ferry was late again on Friday, and those who had come to meet it sat on the quay wall and ate what they had brought for "
+    "the way home.</div><div data-keep>Nobody minded.</div><div data-keep>When it came at last the captain stood at the rail and called out the names of all who had letters, one after the other, until the bag was empty.</div><div><a href=/o>Older</a> "
+    "<a href=/n>Newer</a></div><div>Printed in the yard.</div></body>",
+    "<body><table><tr><td><a href=/1>Start</a></td><td><a href=/2>Prices</a></td><td><a href=/3>Way here</a></td></tr></table><div data-keep>We bake twice a week, on Tuesdays and on Fridays, and what is left on the evening of the second day goes to the "
+    "hens behind the mill.</div><div data-keep>Rye keeps longest.</div><div data-keep>Wheat loaves are for those who eat them on the same day, with butter or, as the miller does, with nothing but a little salt on the crust.</div><table><tr><td>Telephone</td>"
+    "<td><a href=/m>Map</a></td></tr><tr><td>Open till six</td><td><a href=/h>Hours</a></td></tr></table></body>",
+    "<body><div><a href=/a>All walks</a></div><div data-keep>The path starts behind the church and climbs through the beeches to a bench, from which in clear weather the lake and the two islands in it can be seen.</div><div data-keep>Take water along, and "
+    "read the <a href=/w>notes on weather in spring</a> first.</div><div data-keep>From the bench it is an hour to the pass; the last part is steep, and after rain the stones are slippery enough to make one wish for a stick.</div><div>Also near: <a href=/b>Mill "
+    "round</a> <a href=/c>Lake shore</a></div><div>Signs by the club</div></body>",
+    "<body><p>Town library</p><p><a href=/c>Catalogue</a> <a href=/v>Visit</a></p><p data-keep>The reading room stays open through the summer, but the cellar, where the newspapers lie, is closed while the pipes are mended.</p><p data-keep>Ask at the desk.</p>"
+    "<p data-keep>Books that were due in these weeks may be brought back in autumn without a fine, as long as they are dry and nobody has written in them.</p><p><a href=/i>Imprint</a></p><p>Bell tower lane</p></body>",
+    "<body><div><a href=/>Index</a> <a href=/z>Z</a></div><div data-keep>Bees fly from ten degrees on, and on the first warm day of the year the whole yard hums with them from the hedge to the gate.</div><div data-keep>They know the way.</div><div data-keep>What "
+    "they carry home in March is pollen of hazel and willow, yellow and grey, and one can tell by the colour of their legs which of the two has opened.</div><div data-keep>Later come the plums.</div></body>",
 )
 
 
@@ -229,7 +244,7 @@ def matrix_of(blocks: list[Block]) -> np.ndarray:
 class Tree:
     """A decision tree grown by Gini impurity; ties go to the first feature and the smallest threshold."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
         self.nodes: list[tuple[int, float, int, int, bool]] = []
         self._grow(x, y, depth, least)
 
