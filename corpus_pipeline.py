@@ -1,6 +1,11 @@
 """A training corpus from raw documents: quality, toxicity, near-duplicates, mixture, packing.
 
 Each stage takes what the one before it kept, all of it. All but the last return the columns of documents.
+
+Defined results: a null text has the features of an empty one and is never toxic; null and empty texts are no copies of
+each other, hold no tokens and so end before the mixture. Rows that repeat an id or a text count and score each for
+themselves until near-duplicates go; one row of each group stays, whatever its id. Texts of any length are read whole.
+Null sources and languages are a site, a leaf and a queue of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
