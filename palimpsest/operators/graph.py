@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import written
+from palimpsest.session import discard, written
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node) that the seeds reach, themselves included. edges: src, dst; seeds: node.
 
-    A frontier join per step, each step's nodes written in the shared folder: for shallow graphs of any size.
+    A frontier join per step; each step's nodes are added to those seen, in the shared folder: for shallow graphs of any
+    size.
     """
     seen = written(seeds.select("node").distinct(), "seen")
-    frontier = seen
+    first = frontier = seen
     while True:
         step = edges.join(frontier, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).where("node is not null").distinct()
-        frontier = written(step.join(seen, "node", "left_anti"), "frontier")
+        before, frontier = frontier, written(step.join(seen, "node", "left_anti"), "frontier")
+        if before is not first:
+            discard(before)
         if frontier.isEmpty():
+            discard(frontier)
             return seen
-        seen = written(seen.unionByName(frontier), "seen")
+        seen = written(frontier, "seen", onto=seen)
 
 
 def reachable_by_source(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
+from palimpsest.session import fresh, written
 
 MAX_SHEET_NAME = 31
 
@@ -71,6 +72,19 @@ def plan_sheet_names(sheets: DataFrame) -> DataFrame:
     return sheets.groupBy("merge").applyInPandas(fold, "merge string, book long, ord long, name string, planned string")
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with their place (from 1) in a global order, in column ``name``: sorted ranges are numbered each for itself
+    and begin where the ones before them end, so that no task sees all rows."""
+    part, first = fresh(rows, "range_", "first_")
+    ranged = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("n_"))
+    # one row a range
+    before = F.sum("n_").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select(F.col(part).alias("of_"), F.coalesce(before, F.lit(0)).alias(first))
+    own = ranged.withColumn(name, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return own.join(begins, F.col(part) == F.col("of_")).withColumn(name, (F.col(name) + F.col(first)).cast("long")).drop(part, first, "of_")
+
+
 def ordered_union(*frames: DataFrame) -> DataFrame:
     """Rows of all with source_ord before their own ord."""
     out = None

@@ -267,17 +267,7 @@ f AS (
 SELECT doc_id, source, inspected FROM f""")
 def q21_attachment_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachments in order, up to 10,000 each and 50,000 in all: those passed over use no budget, so this is a fold."""
-    one = F.collect_list(F.struct("doc_id", "n_chars")).alias("all")
-    by = docs(spark, sf_dir).groupBy("source").agg(one)
-    fold = F.aggregate(
-        F.array_sort("all"),
-        F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<doc_id:bigint,inspected:boolean>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["used"] + F.when((x["n_chars"] <= 10_000) & (s["used"] + x["n_chars"] <= 50_000), x["n_chars"]).otherwise(F.lit(0))).alias("used"),
-            F.concat(s["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), ((x["n_chars"] <= 10_000) & (s["used"] + x["n_chars"] <= 50_000)).alias("inspected")))).alias("out"),
-        ),
-    )
-    return by.select("source", F.explode(fold["out"]).alias("x")).select("x.doc_id", "source", "x.inspected")
+    return mail.within_budget(docs(spark, sf_dir), "source", "doc_id", "n_chars", 10_000, 50_000).select("doc_id", "source", "inspected")
 
 
 # Relational checks ---------------------------------------------------------------------------------------------------
@@ -288,16 +278,16 @@ SELECT p_partkey AS cell, idx, shared FROM part JOIN s ON p_type = shared""")
 def q22_shared_string_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells by way of a dictionary of shared strings."""
     part = table(spark, sf_dir, "part")
-    shared = part.select(F.col("p_type").alias("shared")).distinct().withColumn("idx", (F.row_number().over(Window.orderBy("shared")) - 1).cast("long"))
+    shared = merge.numbered(part.select(F.col("p_type").alias("shared")).distinct(), "idx", "shared").withColumn("idx", F.col("idx") - 1)
     return part.select(F.col("p_partkey").alias("cell"), "p_type").join(shared, F.col("p_type") == F.col("shared")).select("cell", "idx", "shared")
 
 
-@query("""SELECT DISTINCT p_type AS shared FROM part WHERE p_size > 40 EXCEPT SELECT p_type FROM part WHERE p_size <= 5""")
+@query("""SELECT DISTINCT p_brand || p_type AS shared FROM part WHERE p_size > 40 EXCEPT SELECT p_brand || p_type FROM part WHERE p_size <= 5""")
 def q23_unused_shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Touched by a selected cell (size over 40), not used by any that stays (size up to 5)."""
     part = table(spark, sf_dir, "part")
-    touched = part.where("p_size > 40").select(F.col("p_type").alias("shared")).distinct()
-    return touched.join(part.where("p_size <= 5").select(F.col("p_type").alias("shared")).distinct(), "shared", "left_anti")
+    shared = F.concat("p_brand", "p_type").alias("shared")
+    return part.where("p_size > 40").select(shared).distinct().join(part.where("p_size <= 5").select(shared).distinct(), "shared", "left_anti")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size <= 40 AND (p_partkey % 97 = 5 OR (p_retailprice > 1500 AND p_partkey % 10 = 3))")
@@ -359,9 +349,9 @@ def q30_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(edges, orders.where("o_orderkey % 10 = 1").select(node("o", "o_orderkey").alias("node")))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 def q31_dead_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("node")).distinct()
+    live = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("node")).distinct()
     return graph.dead_parts(table(spark, sf_dir, "part").select("p_partkey"), live, "p_partkey")
 
 
@@ -567,7 +557,7 @@ def q55_profile_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q56_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places by digit runs as numbers: a global order by range partitions, numbered by their counts."""
     key = tx.natural_key(F.regexp_replace("c_name", "#0", "#"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(Window.orderBy(key, "c_custkey")).cast("long").alias("place"))
+    return merge.numbered(table(spark, sf_dir, "customer").select("c_custkey", key.alias("key")), "place", "key", "c_custkey").select("c_custkey", "place")
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")

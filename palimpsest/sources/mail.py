@@ -9,6 +9,7 @@ from email import policy
 from email.message import EmailMessage
 from email.parser import BytesParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,27 @@ def inspected_attachments(parts: DataFrame, suffixes: tuple[str, ...]) -> DataFr
     return parts.where("attached").groupBy("source").agg(fold["out"].alias("o")).select("source", F.explode("o").alias("x")).select("source", "x.path", "x.inspected")
 
 
+def within_budget(rows: DataFrame, group: str, order: str, size: str, each: int, total: int) -> DataFrame:
+    """group, order, inspected: rows of a group in their order, taken while each and all together fit; what is passed over
+    uses no budget. A fold over sorted rows, of which one at a time is held, however many a group has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = object(), 0
+        for b in batches:
+            taken = []
+            for key, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key != now:
+                    now, used = key, 0
+                ok = n is not None and n <= each and used + n <= total
+                used += n if ok else 0
+                taken.append(ok)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(taken, pa.bool_())], names=[group, order, "inspected"])
+
+    narrow = rows.select(group, order, F.col(size).cast("long").alias("n_")).repartition(group).sortWithinPartitions(group, order)
+    kinds = dict(narrow.dtypes)
+    return narrow.mapInArrow(run, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, inspected boolean")
+
+
 def clean(raw: bytes, pattern: re.Pattern, paths: set[str] | None = None, block: bool = False, places: dict[str, set[int]] | None = None) -> bytes:
     """The message with keywords gone from the subject, text lines and HTML blocks (of ``paths``, or all; places: of
     a path only these lines or blocks).
