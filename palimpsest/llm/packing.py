@@ -17,6 +17,7 @@ repeated rows are packed once each; an empty table gives no piece. Columns other
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -37,8 +38,8 @@ END_ID = 2
 MAX_QUEUES = 1024
 #: Windows of a block.
 BLOCK = 128
-#: Cached words of a worker; the cache starts anew beyond it.
-CACHE_WORDS = 150_000
+#: Words of a worker's cache; beyond it they are kept as those of before, and those before go.
+CACHE_WORDS = 75_000
 
 TOKENS_SCHEMA = "doc_id long, queue string, part int, local_start long, doc_tokens long, ids binary"
 PIECE_SCHEMA = (
@@ -58,18 +59,26 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of whole texts as little-endian uint16 (uint32 for large vocabularies) bytes.
 
-    The vocabulary cuts a text into words, by a pattern, and encodes each for itself; words repeat, and are kept. New
-    words are encoded many to a call: each ends with the only piece that carries the word-end mark. A text with
+    A vocabulary of the known CUT cuts a text into words and encodes each for itself; words repeat, and are kept: those
+    of late, and of the time before that what was met again. New words are encoded many to a call, by the model alone,
+    as they are normalised and cut already; each ends with the only piece that carries the word-end mark. A text with
     characters outside PLAIN, which could be normalised or cut differently here, or with a special token's opening
-    mark, goes to the tokenizer whole.
+    mark, goes to the tokenizer whole, and so do all texts with a vocabulary that cuts otherwise.
     """
 
     #: Here lower() and NFC do as the tokenizer does, and white space is the same.
     PLAIN = "\t\n\x0b\x0c\r -~\u00a1-\u012f\u0131-\u017f"
     END_MARK = "</w>"
+    #: How the vocabulary's file states the pattern and the steps before the model.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    CUT = [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
@@ -78,12 +87,23 @@ class WordEncoder:
         self.is_end = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.is_end[i] = piece.endswith(self.END_MARK)
+        steps = []
+        for step, inner in ((self.tokenizer.normalizer, "normalizers"), (self.tokenizer.pre_tokenizer, "pretokenizers")):
+            steps += [] if step is None else json.loads(step.__getstate__()).get(inner, [])
+        self.known = steps == self.CUT
+        self.model_only = Tokenizer(self.tokenizer.model)
+        self.model_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        #: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on; the space stays.
+        itself = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = sorted(set(range(0x100)) - set(itself))
+        self.of_byte = {x: 0x100 + i for i, x in enumerate(others) if x != 0x20}
         kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(0x180))}
         letters, numbers = (re.escape("".join(c for c, k in kinds.items() if k == x)) for x in "LN")
         #: The vocabulary's own pattern, for plain texts: contractions, runs of letters, single digits, runs of others.
         self.words_of = re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{letters}{numbers}]+").findall
-        self.odd = re.compile(f"[^{self.PLAIN}]|<\\|").search
+        self.odd = re.compile(f"[^{self.PLAIN}]").search
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -91,7 +111,8 @@ class WordEncoder:
     def _learn(self, new: list[str]) -> None:
         groups = [new[i : i + 128] for i in range(0, len(new), 128)]
         k = self.dtype.itemsize
-        for some, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        lines = [" ".join(g).encode().decode("latin-1").translate(self.of_byte) for g in groups]
+        for some, found in zip(groups, self.model_only.encode_batch_fast(lines, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.dtype)
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
@@ -102,16 +123,11 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        cut, new = [], set()
-        for text in texts:
-            text = text or ""
-            if self.odd(text):
-                cut.append(text)
-            else:
-                cut.append(words := self.words_of(text.lower()))
-                new.update(set(words).difference(self.words))
-        self._learn(list(new))
+            self.before, self.words = self.words, {}
+        cut = [t if not self.known or "<|" in t or self.odd(t) else self.words_of(t.lower()) for t in (x or "" for x in texts)]
+        new = set().union(*(c for c in cut if isinstance(c, list))).difference(self.words)
+        self.words.update((w, self.before[w]) for w in new if w in self.before)
+        self._learn([w for w in new if w not in self.words])
         get = self.words.__getitem__
         return [(self._whole(c) if isinstance(c, str) else b"".join(map(get, c))) + self.end for c in cut]
 
