@@ -7,8 +7,10 @@ the empty context escapes to the uniform distribution. Statistics are frozen aft
 text in a language is the exact sum over its bytes of -log2 of these probabilities, in the longest context of that
 language's tree. The language of least code length is predicted.
 
-The trees are merged into one automaton: a node for each context of any language, for every node and byte the code
-lengths in all languages. A position's node is found in ORDER table look-ups, for all positions of a chunk at once.
+The trees are merged into one automaton: a node for each context of any language. A position's node is found in ORDER
+table look-ups, for all positions of a chunk at once. A language has a row of code lengths for each context of its own
+only; a node points to the row of the longest context of that language that ends there, so rows grow with the training
+sample of a language, not with that of all.
 
 Training takes a bounded sample of labelled rows: for each language the SAMPLE_ROWS with the smallest hash of the id,
 those longer than SAMPLE_TEXT characters left out. Scoring reads all texts whole.
@@ -41,7 +43,7 @@ SEED = 11
 
 
 class ContextTrees:
-    """The merged automaton: child[node, byte] goes one byte further back, cost[node, byte, language] is in bits."""
+    """The merged automaton: child[node, byte] goes one byte further back, cost[row[language, node], byte] is in bits."""
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST_COUNT):
         self.langs = sorted(samples)
@@ -68,22 +70,25 @@ class ContextTrees:
             parent = codes[k] % base ** (k - 1)
             child[first[k - 1] + np.searchsorted(codes[k - 1], parent), codes[k] // base ** (k - 1)] = first[k] + np.arange(len(codes[k]))
         self.nodes = n
-        cost = np.empty((n, base, len(self.langs)), np.float32)
+        self.row = np.empty((len(self.langs), n), np.int32)
+        made = [np.zeros((0, size), np.float32)]
         for i, c in enumerate(counts):
-            p = np.full((1, size), 1 / size)
-            p = self._mix(p, c[0][1])
-            above = p
-            cost[first[0] : first[1], :size, i] = -np.log2(above)
+            begins_at = sum(map(len, made))
+            p = self._mix(np.full((1, size), 1 / size), c[0][1])
+            row = np.zeros(len(codes[0]), np.int64)
+            self.row[i, first[0] : first[1]] = begins_at
             for k in range(1, order + 1):
-                parent = np.searchsorted(codes[k - 1], codes[k] % base ** (k - 1))
-                p = above[parent].copy()
+                row = row[np.searchsorted(codes[k - 1], codes[k] % base ** (k - 1))]
                 own = np.searchsorted(codes[k], c[k][0])
-                p[own] = self._mix(p[own], c[k][1])
-                cost[first[k] : first[k + 1], :size, i] = -np.log2(p)
-                above = p
-        cost[:, begin] = 0
+                new = self._mix(p[row[own]], c[k][1])
+                row[own] = len(p) + np.arange(len(own))
+                p = np.concatenate([p, new])
+                self.row[i, first[k] : first[k + 1]] = begins_at + row
+            made.append((-np.log2(p)).astype(np.float32))
+        cost = np.zeros((sum(map(len, made)), base), np.float32)
+        cost[:, :size] = np.concatenate(made)
         cost[:, 0] += 8
-        self.cost = cost.reshape(n * base, len(self.langs))
+        self.cost = cost.reshape(-1)
         self.child = child.reshape(-1)
         self.base = base
 
@@ -147,11 +152,14 @@ class ContextTrees:
         for k in range(1, self.order + 1):
             further = self.child[np.minimum(node, self.nodes - 1) * self.base + joined[self.order - k : self.order - k + m]]
             node = np.where(node < self.nodes, further, node)
-        cost = self.cost[np.where(node < self.nodes, node, node - self.nodes) * self.base + joined[self.order :]]
+        node = np.where(node < self.nodes, node, node - self.nodes)
         ends = np.cumsum([len(p) for _, p in group])
         begins = np.concatenate([[0], ends[:-1]])
         edges = np.stack([begins, ends - self.order], 1).ravel()[:-1]  # between pieces lie the next one's leading symbols
-        np.add.at(out, [i for i, _ in group], np.add.reduceat(cost, edges, axis=0, dtype=np.float64)[::2])
+        which = [i for i, _ in group]
+        for i, row in enumerate(self.row):
+            cost = self.cost[row[node].astype(np.int64) * self.base + joined[self.order :]]
+            np.add.at(out[:, i], which, np.add.reduceat(cost, edges, dtype=np.float64)[::2])
 
 
 LETTER_LIKE = re.compile(r"[^\W\d_]")
