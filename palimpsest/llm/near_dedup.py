@@ -15,6 +15,8 @@ is dealt into blocks of bounded size, every pair of blocks is one group of rows,
 by size, by the shingles that both can share at most and then by their sets, and only links leave it. A pair that meets in
 several entries is compared in the first. No pair is left out for being unlikely.
 
+Nothing here that grows with the corpus is broadcast, as the driver would have to hold it.
+
 Sets are of 64-bit hashes of whole shingles: of two texts of n shingles together some two shingles are taken for one with
 probability n * n / 2**65.
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.session import discard, fresh, table, written
+from palimpsest.session import discard, fresh, shuffled, table, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80
@@ -140,9 +142,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: s
                 yield pa.record_batch([pa.array(list(map(fingerprint, words)), pa.binary()), pa.array([maker.hashes(w).tobytes() for w in words], pa.binary())], names=["fp", "hashes"])
 
     ids = wanted.select("class_id").distinct()
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("class_id")), "left_semi")
+    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(shuffled(ids), F.col("id").eqNullSafe(F.col("class_id")), "left_semi")
     of_node = some.select("text").mapInArrow(run, "fp binary, hashes binary").select(F.xxhash64("fp").alias("node"), "hashes")
-    return of_node.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return of_node.join(shuffled(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
 
 
 def index_entries(classes: DataFrame) -> DataFrame:
@@ -171,10 +173,10 @@ def neighbours(members: DataFrame) -> DataFrame:
             x, y = node[1:][same], node[:-1][same]
             yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    # each entry begins its order at another symbol
+    # each entry begins its order at another symbol; ranges are told by its first ones, as the driver samples them
     turn = F.pmod("key", F.lit(CHUNKS * WIDTH)).cast("int")
     order = F.concat(F.slice("sig", turn + 1, F.lit(CHUNKS * WIDTH)), F.slice("sig", F.lit(1), turn))
-    keyed = members.select("key", "node", order.alias("order")).repartitionByRange("key", "order", "node").sortWithinPartitions("key", "order", "node")
+    keyed = members.select("key", "node", order.alias("order")).repartitionByRange("key", F.slice("order", 1, WIDTH), "node").sortWithinPartitions("key", "order", "node")
     return keyed.select("key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -194,8 +196,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
-    return with_a.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+    with_a = pairs.join(shuffled(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a"))), "a")
+    return with_a.join(shuffled(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b"))), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
 def first_slots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -285,7 +287,7 @@ def in_blocks(members: DataFrame, percent: int) -> DataFrame:
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int")
     can = (100 * F.min("n_shingles") >= percent * F.max("n_shingles")) & ((100 + percent) * F.min("outside") >= percent * F.sum("n_shingles"))
     count = members.groupBy("key").agg(blocks.alias("blocks"), ((F.count("*") > 2) | can).alias("can")).where("can").drop("can")
-    dealt = members.join(count, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = members.join(shuffled(count), "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumns({"one": F.least("own", "with"), "other": F.greatest("own", "with"), "side": (F.col("own") > F.col("with")).cast("int")}).drop("own", "with", "blocks")
 
@@ -293,7 +295,7 @@ def in_blocks(members: DataFrame, percent: int) -> DataFrame:
 def spanning(members: DataFrame) -> DataFrame:
     """``members`` (key, comp, ...) of the entries that hold more than one component."""
     keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return members.join(keys, "key")
+    return members.join(shuffled(keys), "key")
 
 
 def outside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -305,9 +307,9 @@ def outside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
                 h = np.frombuffer(b.column(2)[i].as_buffer(), np.int64)
                 yield pa.record_batch([pa.array(np.full(len(h), b.column(k)[i].as_py())) for k in (0, 1)] + [pa.array(h)], names=["node", "comp", "h"])
 
-    each = nodes.join(sets, "node").select("node", "comp", "hashes").mapInArrow(run, "node long, comp long, h long")
+    each = nodes.join(shuffled(sets), "node").select("node", "comp", "hashes").mapInArrow(run, "node long, comp long, h long")
     shared = each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    return each.join(shared, "h").groupBy("node").agg(F.count("*").alias("outside"))
+    return each.join(shuffled(shared), "h").groupBy("node").agg(F.count("*").alias("outside"))
 
 
 def signature(edges: DataFrame) -> tuple:
@@ -326,9 +328,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         root = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(root, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        large = both.join(shuffled(root), "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        small = large.join(shuffled(low), "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         after = written(small, "links")
         discard(edges)
         if (now := signature(after)) == before:
@@ -347,36 +349,36 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     classes = written(classes.withColumn("node", F.xxhash64("fp")), "classes")
     entries = index_entries(classes)
     shared = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
-    open_ = written(entries.join(shared, "key").select("key", "slot", "node", "first"), "entries")
-    wanted = classes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "class_id")
+    open_ = written(entries.join(shuffled(shared), "key").select("key", "slot", "node", "first"), "entries")
+    wanted = classes.join(shuffled(open_.select("node").distinct()), "node", "left_semi").select("node", "class_id")
     sets = written(sets_of(docs, wanted, k, id_col, text_col), "sets")
-    own = classes.select("node", "n_shingles", "sig")
+    own = shuffled(classes.select("node", "n_shingles", "sig"))
 
     stars = open_.where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
     tested = stars.unionByName(neighbours(open_.join(own, "node"))).distinct()
     comps = components(confirm(tested, sets, percent))
 
-    placed = open_.join(comps, "node", "left").select("key", "slot", "node", F.coalesce("comp", "node").alias("comp"))
+    placed = open_.join(shuffled(comps), "node", "left").select("key", "slot", "node", F.coalesce("comp", "node").alias("comp"))
     left = written(spanning(placed), "left")
     reach = outside(left.select("node", "comp").distinct(), sets)
     enough = written(reach.join(own, "node").where(100 * F.col("outside") >= percent * F.col("n_shingles")).select("node", "outside", "n_shingles", "sig"), "enough")
-    members = in_blocks(spanning(left.join(enough.select("node", "outside", "n_shingles"), "node")), percent)
-    with_sig = written(involved(members.join(enough.select("node", "sig"), "node"), percent), "members")
-    found = written(links_of(with_sig.join(sets, "node"), percent).distinct(), "confirmed")
+    members = in_blocks(spanning(left.join(shuffled(enough.select("node", "outside", "n_shingles")), "node")), percent)
+    with_sig = written(involved(members.join(shuffled(enough.select("node", "sig")), "node"), percent), "members")
+    found = written(links_of(with_sig.join(shuffled(sets), "node"), percent).distinct(), "confirmed")
     if not found.isEmpty():
         # the links between components, contracted
-        of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}"))
+        of = lambda side: shuffled(comps.select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}")))
         ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-        above = components(ends).select(F.col("node").alias("under"), F.col("comp").alias("over"))
-        moved = comps.unionByName(above.join(comps, F.col("under") == F.col("node"), "left_anti").select(F.col("under").alias("node"), F.col("under").alias("comp")))
+        above = shuffled(components(ends).select(F.col("node").alias("under"), F.col("comp").alias("over")))
+        moved = comps.unionByName(above.join(shuffled(comps), F.col("under") == F.col("node"), "left_anti").select(F.col("under").alias("node"), F.col("under").alias("comp")))
         comps = written(moved.join(above, F.col("comp") == F.col("under"), "left").select("node", F.coalesce("over", "comp").alias("comp")), "components")
     discard(open_, sets, left, enough, with_sig, found)
 
-    of_node = classes.select("node", "fp", "class_id").join(comps, "node", "left").select("fp", "class_id", F.coalesce("comp", "node").alias("comp"))
+    of_node = classes.select("node", "fp", "class_id").join(shuffled(comps), "node", "left").select("fp", "class_id", F.coalesce("comp", "node").alias("comp"))
     least = of_node.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    of_fp = of_node.join(least, "comp").select(F.col("fp").alias("class_fp"), "class_id", "component_id", "comp")
+    of_fp = of_node.join(shuffled(least), "comp").select(F.col("fp").alias("class_fp"), "class_id", "component_id", "comp")
     alone = F.col("n_shingles") == 0
-    joined = rows.select("doc_id", "text_hash", "fp", "n_shingles").join(of_fp, F.col("fp") == F.col("class_fp"))
+    joined = rows.select("doc_id", "text_hash", "fp", "n_shingles").join(shuffled(of_fp), F.col("fp") == F.col("class_fp"))
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"),

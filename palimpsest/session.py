@@ -82,6 +82,13 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is not to be broadcast, whatever its files' size says: the driver would hold what
+    grows with the corpus, in rows many times larger than their compressed columns.
+    """
+    return df.hint("merge")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that do not clash with those of ``df``."""
     taken = {c.lower() for c in df.columns}
