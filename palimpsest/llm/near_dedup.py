@@ -398,7 +398,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     # only rows that repeat have to be gathered to keep one of each
     once, more = kept.where("n = 1").drop("n"), written(kept.where("n > 1").drop("n"), "repeated")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(text_hash))
-    return docs.join(once, same, "left_semi").unionByName(docs.join(more, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return docs.join(shuffled(once, kept.count()), same, "left_semi").unionByName(docs.join(shuffled(more, more.count()), same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

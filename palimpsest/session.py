@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_SHARED = "/tmp/palimpsest-shared"
 #: Rows that go to a Python worker at a time, where nobody says otherwise: rows hold whole texts.
 ARROW_ROWS = 1000
+#: Some narrow rows that a driver can hold as a table of hashes, about 100 bytes each.
+BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "palimpsest", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -82,11 +84,12 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def shuffled(df: DataFrame) -> DataFrame:
+def shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` as a side of a join that is not to be broadcast, whatever its files' size says: the driver would hold what
-    grows with the corpus, in rows many times larger than their compressed columns.
+    grows with the corpus, in rows many times larger than their compressed columns. rows: how many there are, if known;
+    up to BROADCAST_ROWS the session's threshold decides.
     """
-    return df.hint("merge")
+    return df.hint("merge") if rows is None or rows > BROADCAST_ROWS else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
