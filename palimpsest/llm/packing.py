@@ -23,9 +23,11 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,8 +40,12 @@ END_ID = 2
 MAX_QUEUES = 1024
 #: Windows of a block.
 BLOCK = 128
-#: Words of a worker's cache; beyond it they are kept as those of before, and those before go.
-CACHE_WORDS = 75_000
+#: Words, or bytes, of a worker's cache; beyond it they are kept as those of before, and those before go.
+CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20
+#: Characters of the texts that are cut into words at a time; a longer text is cut alone.
+CUT_CHARS = 1 << 21
+#: A text with more bytes than this between white space is cut by the pattern.
+LONG_CHUNK = 256
 
 TOKENS_SCHEMA = "doc_id long, queue string, part int, local_start long, doc_tokens long, ids binary"
 PIECE_SCHEMA = (
@@ -56,12 +62,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of the spans, one span after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Words:
+    """Distinct words and their ids, one word's after the other's."""
+
+    def __init__(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray):
+        self.words, self.sizes, self.ids = words, sizes, ids
+        self.starts = np.cumsum(sizes) - sizes
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    @property
+    def full(self) -> bool:
+        return len(self) > CACHE_WORDS or self.words.nbytes + self.ids.nbytes > CACHE_BYTES
+
+    def at(self, words: pa.Array) -> np.ndarray:
+        """Places of ``words`` here, -1 of those that are not."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def take(self, places: np.ndarray) -> Words:
+        sizes = self.sizes[places]
+        return Words(self.words.take(pa.array(places)), sizes, self.ids[spans(self.starts[places], sizes)])
+
+    def plus(self, *others: Words) -> Words:
+        every = [x for x in (self, *others) if len(x)] or [self]
+        return self if every == [self] else Words(pa.concat_arrays([x.words for x in every]), np.concatenate([x.sizes for x in every]), np.concatenate([x.ids for x in every]))
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian uint16 (uint32 for large vocabularies) bytes.
 
-    A vocabulary of the known CUT cuts a text into words and encodes each for itself; words repeat, and are kept: those
-    of late, and of the time before that what was met again. New words are encoded many to a call, by the model alone,
-    as they are normalised and cut already; each ends with the only piece that carries the word-end mark. A text with
+    A vocabulary of the known CUT cuts a text into words and encodes each for itself. Words end at white space, and at the
+    last letter or number before it, so texts are cut there without the pattern; only what is new is cut by it, as it can
+    still be several words. These parts repeat, and are kept: those of late, and of the time before that what was met again. New ones are
+    encoded many to a call, by the model alone, as they are normalised and cut already; each word ends with the only
+    piece that carries the word-end mark. A text with
     characters outside PLAIN, which could be normalised or cut differently here, or with a special token's opening
     mark, goes to the tokenizer whole, and so do all texts with a vocabulary that cuts otherwise.
     """
@@ -102,34 +142,102 @@ class WordEncoder:
         #: The vocabulary's own pattern, for plain texts: contractions, runs of letters, single digits, runs of others.
         self.words_of = re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{letters}{numbers}]+").findall
         self.odd = re.compile(f"[^{self.PLAIN}]").search
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        #: The characters of the pattern's last case.
+        self.others = "".join(c for c, k in kinds.items() if k not in "LN" and not c.isspace())
+        self.none = Words(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, self.dtype))
+        self.words = self.before = self.none
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        groups = [new[i : i + 128] for i in range(0, len(new), 128)]
-        k = self.dtype.itemsize
-        lines = [" ".join(g).encode().decode("latin-1").translate(self.of_byte) for g in groups]
-        for some, found in zip(groups, self.model_only.encode_batch_fast(lines, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.dtype)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                raw, cuts = ids.tobytes(), [0, *(ends * k).tolist()]
-                self.words.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
-            else:
-                self.words.update((w, self._whole(w)) for w in some)
+    def _learn(self, new: list[str]) -> Words:
+        """The parts ``new`` with their ids."""
+        cut = [[p] if p.isalpha() else self.words_of(p) for p in new]
+        ids: list[list[int]] = [[]] * len(new)
+        plain = [p.isascii() for p in new]
+        # what is plain stands for itself in the byte-level alphabet
+        for kind in (True, False):
+            of = [i for i, x in enumerate(plain) if x is kind]
+            groups = [of[i : i + 128] for i in range(0, len(of), 128)]
+            lines = [" ".join([w for i in g for w in cut[i]]) for g in groups]
+            if not kind:
+                lines = [x.encode().decode("latin-1").translate(self.of_byte) for x in lines]
+            for some, found in zip(groups, self.model_only.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+                got = found.ids
+                ends = np.concatenate([[0], np.flatnonzero(self.is_end[got]) + 1])
+                last = np.cumsum([0, *(len(cut[i]) for i in some)])
+                if len(ends) == last[-1] + 1 and ends[-1] == len(got):
+                    at = ends[last].tolist()
+                    for i, x, y in zip(some, at, at[1:], strict=False):
+                        ids[i] = got[x:y]
+                else:
+                    for i in some:
+                        ids[i] = self.tokenizer.encode(new[i], add_special_tokens=False).ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return Words(pa.array(new, pa.large_string()), sizes, np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum())))
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Places of the distinct ``parts`` among the kept ones, which they all are then."""
+        at = self.words.at(parts)
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            was = self.before.at(parts.take(pa.array(lost)))
+            back, new = lost[was >= 0], lost[was < 0]
+            at[back] = len(self.words) + np.arange(len(back))
+            at[new] = len(self.words) + len(back) + np.arange(len(new))
+            self.words = self.words.plus(self.before.take(was[was >= 0]), self._learn(parts.take(pa.array(new)).to_pylist()))
+        return at
+
+    def _cut(self, texts: list[str | None], parted: bool = False) -> list[bytes]:
+        """Ids of the plain ``texts``, in lower case; of null none. parted: their words stand between white space."""
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        chunks = cut.flatten().dictionary_encode()
+        of, of_chunk = chunks.dictionary, chunks.indices.to_numpy()
+        until = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False))])
+        long = pc.binary_length(of).to_numpy(zero_copy_only=False) > LONG_CHUNK
+        if long.any() and not parted:
+            rows = set((np.searchsorted(until, np.flatnonzero(long[of_chunk]), "right") - 1).tolist())
+            return self._cut([" ".join(self.words_of(t)) if i in rows else t for i, t in enumerate(texts)], True)
+        heads = pc.utf8_rtrim(of, characters=self.others)
+        begin = np.frombuffer(of.buffers()[1], np.int64)[of.offset :][: len(of) + 1] if len(of) else np.zeros(1, np.int64)
+        n = pc.binary_length(heads).to_numpy(zero_copy_only=False)
+        tailed = np.flatnonzero(n < np.diff(begin))
+        sizes = np.diff(begin)[tailed] - n[tailed]
+        raw = np.frombuffer(of.buffers()[2] or b"", np.uint8)[spans(begin[tailed] + n[tailed], sizes)]
+        tails = pa.LargeStringArray.from_buffers(len(tailed), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)])), pa.py_buffer(raw))
+        parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+        # of each distinct chunk its head and its tail, if it has one
+        at = self._places(parts.dictionary)[parts.indices.to_numpy()]
+        known = self.words
+        two, size = np.zeros((len(of), 2), np.int64), np.zeros((len(of), 2), np.int64)
+        two[:, 0], two[tailed, 1] = known.starts[at[: len(of)]], known.starts[at[len(of) :]]
+        size[:, 0], size[tailed, 1] = known.sizes[at[: len(of)]], known.sizes[at[len(of) :]]
+        ids, size = known.ids[spans(two.ravel(), size.ravel())], size.sum(1)
+        raw = ids[spans((np.cumsum(size) - size)[of_chunk], size[of_chunk])].tobytes()
+        edges = (np.concatenate([[0], np.cumsum(size[of_chunk])])[until] * self.dtype.itemsize).tolist()
+        return [raw[x:y] for x, y in zip(edges, edges[1:], strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.before, self.words = self.words, {}
-        cut = [t if not self.known or "<|" in t or self.odd(t) else self.words_of(t.lower()) for t in (x or "" for x in texts)]
-        new = set().union(*(c for c in cut if isinstance(c, list))).difference(self.words)
-        self.words.update((w, self.before[w]) for w in new if w in self.before)
-        self._learn([w for w in new if w not in self.words])
-        get = self.words.__getitem__
-        return [(self._whole(c) if isinstance(c, str) else b"".join(map(get, c))) + self.end for c in cut]
+        texts = [x or "" for x in texts]
+        plain = [None if not self.known or "<|" in t or self.odd(t) else t.lower() for t in texts]
+        out: list[bytes] = []
+        for group in groups_of([len(t) for t in texts], CUT_CHARS):
+            if self.words.full:
+                self.before, self.words = self.words, self.none
+            out += self._cut([plain[i] for i in group])
+        return [(self._whole(t) if p is None else x) + self.end for t, p, x in zip(texts, plain, out, strict=True)]
+
+
+def groups_of(sizes: list[int], most: int) -> Iterator[range]:
+    """Places that follow each other, of ``most`` in sum, or one."""
+    first, n = 0, 0
+    for i, x in enumerate(sizes):
+        if i > first and n + x > most:
+            yield range(first, i)
+            first, n = i, 0
+        n += x
+    if sizes:
+        yield range(first, len(sizes))
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
@@ -146,8 +254,8 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(path, end_id), TaskContext.get().partitionId(), {}
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
                 ids = enc.encode(b.column(1).to_pylist())
                 queues = b.column(2).to_pylist()
                 starts, counts = [], []
