@@ -43,7 +43,7 @@ SEED = 11
 
 
 class ContextTrees:
-    """The merged automaton: child[node, byte] goes one byte further back, cost[row[language, node], byte] is in bits."""
+    """The merged automaton: child[node, byte] goes one byte further back, own[row[language, node], byte] is in bits."""
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST_COUNT):
         self.langs = sorted(samples)
@@ -88,10 +88,15 @@ class ContextTrees:
         cost = np.zeros((sum(map(len, made)), base), np.float32)
         cost[:, :size] = np.concatenate(made)
         cost[:, 0] += 8
-        self.cost = cost.reshape(-1)
+        self.own = cost.reshape(-1)
         self.child = child.reshape(-1)
         self.base = base
 
+    @property
+    def cost(self) -> np.ndarray:
+        """(nodes, symbols, languages): the code lengths spelt out, with a row for every context in every language."""
+        return self.own.reshape(-1, self.base)[self.row].transpose(1, 2, 0)
+
     def _counts(self, texts: list[np.ndarray], base: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each depth: context codes, and counts of the next symbol in them."""
         begin = np.full(self.order, self.begin)
@@ -158,7 +163,7 @@ class ContextTrees:
         edges = np.stack([begins, ends - self.order], 1).ravel()[:-1]  # between pieces lie the next one's leading symbols
         which = [i for i, _ in group]
         for i, row in enumerate(self.row):
-            cost = self.cost[row[node].astype(np.int64) * self.base + joined[self.order :]]
+            cost = self.own[row[node].astype(np.int64) * self.base + joined[self.order :]]
             np.add.at(out[:, i], which, np.add.reduceat(cost, edges, dtype=np.float64)[::2])
 
 
