@@ -43,6 +43,8 @@ SIMILARITY = 80
 CHUNKS, WIDTH, ERRORS, BITS = 8, 5, 1, 11
 #: A block of an entry's members holds so many of them, or so many bytes of their sets, on average.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+#: Bytes of sets after which a worker hands on a batch of them.
+BATCH_BYTES = 4 << 20
 #: Columns of the matrices with which two blocks are compared.
 COLUMNS = 1 << 12
 SEED = 20_240_601
@@ -122,7 +124,7 @@ def sketches(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id", te
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                made = [maker.sketch(t) for t in b.column(2).to_pylist()]
+                made = [maker.sketch(t.as_py()) for t in b.column(2)]
                 yield pa.record_batch(
                     [b.column(0), b.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int32()))],
                     names=["doc_id", "text_hash", "fp", "n_shingles", "sig"],
@@ -131,15 +133,27 @@ def sketches(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH_SCHEMA)
 
 
+def hashed(texts: pa.Array, maker: Sketcher) -> Iterator[pa.RecordBatch]:
+    """(fp, hashes) of each text. Words as Python objects take many times the bytes of their text, and sets about as many
+    as it: the words of one text at a time are held, and the sets of a batch of bounded bytes."""
+    fps, sets, size = [], [], 0
+    for i, t in enumerate(texts):
+        words = words_of(t.as_py())
+        fps.append(fingerprint(words))
+        sets.append(maker.hashes(words).tobytes())
+        size += len(sets[-1])
+        if size >= BATCH_BYTES or i == len(texts) - 1:
+            yield pa.record_batch([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "hashes"])
+            fps, sets, size = [], [], 0
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(node, hashes) of the ``wanted`` (node, class_id). Ids can repeat or be null, so the words decide the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Sketcher(k)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                words = [words_of(t) for t in whole.slice(i, 1024).column(0).to_pylist()]
-                yield pa.record_batch([pa.array(list(map(fingerprint, words)), pa.binary()), pa.array([maker.hashes(w).tobytes() for w in words], pa.binary())], names=["fp", "hashes"])
+        for b in batches:
+            yield from hashed(b.column(0), maker)
 
     ids = wanted.select("class_id").distinct()
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(shuffled(ids), F.col("id").eqNullSafe(F.col("class_id")), "left_semi")
